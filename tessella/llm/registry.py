@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat
+from tessella.llm import chat, exact_dedup, warc_zip
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_warc_zip": warc_zip.op6_warc_zip,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op2_exact_dedup": exact_dedup.ORACLE_OP2,
+    "op6_warc_zip": warc_zip.ORACLE_OP6,
     "op10_chat_format": chat.ORACLE_OP10,
 }
