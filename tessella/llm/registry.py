@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, exact_dedup, packing, pii, warc_zip
+from tessella.llm import bpe, chat, exact_dedup, langid, packing, pii, quality, warc_zip
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_language_id": langid.op3_language_id,
     "op4_pii_anchors": pii.op4_pii_anchors,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_warc_zip": warc_zip.op6_warc_zip,
+    "op7_quality_nbsvm": quality.op7_quality_nbsvm,
     "op9_word_bpe": bpe.op9_word_bpe,
     "op10_chat_format": chat.op10_chat_format,
 }
