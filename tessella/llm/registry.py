@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, exact_dedup, langid, packing, pii, quality, warc_zip
+from tessella.llm import bpe, chat, divergence, exact_dedup, langid, packing, pii, quality, warc_zip
 
 QUERIES = {
+    "op1_divergence": divergence.op1_divergence,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_pii_anchors": pii.op4_pii_anchors,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_divergence": divergence.ORACLE_OP1,
     "op2_exact_dedup": exact_dedup.ORACLE_OP2,
     "op6_warc_zip": warc_zip.ORACLE_OP6,
     "op10_chat_format": chat.ORACLE_OP10,
