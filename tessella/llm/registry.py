@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, divergence, exact_dedup, langid, packing, pii, quality, warc_zip
+from tessella.llm import bpe, chat, divergence, exact_dedup, langid, minhash, packing, pii, quality, warc_zip
 
 QUERIES = {
     "op1_divergence": divergence.op1_divergence,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_warc_zip": warc_zip.op6_warc_zip,
     "op7_quality_nbsvm": quality.op7_quality_nbsvm,
+    "op8_minhash_icws": minhash.op8_minhash_icws,
     "op9_word_bpe": bpe.op9_word_bpe,
     "op10_chat_format": chat.op10_chat_format,
 }
