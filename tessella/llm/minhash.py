@@ -52,6 +52,8 @@ RARE, FLOOR = 1000.0, 0.75
 #: Bounds of a block: nodes and words.
 BLOCK_NODES, BLOCK_WORDS = 200, 1_000_000
 PIECE = 1 << 20
+#: A tournament goes on while each round leaves at most this share of the roots.
+SHRINK = 0.8
 
 _random = np.random.default_rng(20100)
 _U = _random.random((5, 1 << 16)) * (1 - 2e-7) + 1e-7
@@ -353,11 +355,11 @@ def _classes(nodes: DataFrame, docs: DataFrame, weights, threshold: float) -> Da
     while True:
         counted = heads.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         total = counted.agg(F.sum("n")).first()[0] or 0
-        if not total or total == before:
+        if not total or (before and total > SHRINK * before):
             break
         before = total
         open_heads = heads.join(counted.select("comp"), "comp", "left_semi").select("comp", "node")
-        again = _in_blocks(open_heads.join(full.select("node", "n_words"), "node"), level)
+        again = stored(_in_blocks(open_heads.join(full.select("node", "n_words"), "node"), level), "heads")
         met = stored(_link_blocks(again.join(full.select("node", "bands", "bytes", "text"), "node"), weights, threshold), "met")
         pairs = met.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v")
         links = pairs if links is None else links.union(pairs)
