@@ -426,9 +426,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     of_text = nodes.select("t1", "t2", "node").join(classes, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
     placed = signed.select("uid", "id", "t1", "t2", F.col("bands").isNotNull().alias("full")).join(of_text.withColumn("full", F.lit(True)), ["t1", "t2", "full"], "left")
     placed = placed.select("id", F.coalesce("root", "uid").alias("root"))
-    summed = placed.groupBy("root").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("class_size"))
-    joined = placed.join(summed, "root")
-    return joined.select(F.col("id").alias(id_col), F.col("least.id").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), F.col("id").eqNullSafe(F.col("least.id")).alias("kept"))
+    summed = placed.groupBy("root").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
+    several = stored(summed.select("root", F.col("least.id").alias("first_id"), "class_size"), "sizes")
+    joined = placed.join(several, "root", "left")  # a plain shuffled join, whose hot classes adaptive execution splits
+    class_id = F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("first_id"))
+    return joined.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))
 
 
 def op8_minhash_icws(spark, sf_dir: str) -> DataFrame:
