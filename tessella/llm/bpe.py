@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import table
+from tessella.llm.common import bounded_batches, table
 from tessella.llm.packing import UNSETTLED, byte_symbols
 
 # Fixed value: how the vocabulary's tokenizer finds words.
@@ -236,6 +236,7 @@ def encoder(path: str | None) -> WordEncoder:
 
 def encode_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``, an array, if asked for)."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import reducers, table
+from tessella.llm.common import bounded_batches, reducers, table
 
 # Control strings of common chat templates, which texts must not contain raw.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -164,6 +164,7 @@ def format_records(records: DataFrame, record: str, keys: list[str], mappings: t
 
     ``record`` holds JSON text of any layout among ``mappings``.
     """
+    bounded_batches(records.sparkSession)
     source = records.select(*[F.col(k) for k in keys], F.col(record).alias("__record"))
     kept = source.schema.fields[:-1]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,40 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.storage import shared_dir, stored
+
+__all__ = ["BROADCAST_ROWS", "bounded_batches", "broadcast_if_small", "byte_slices", "in_training", "reducers", "shared_dir", "stored", "table"]
+
 #: Rows of a narrow id table (about 16 bytes each) that may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 400_000
 
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary folder is made.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessella-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation of what stands before, and
-    later stages read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Mark a narrow table for broadcast when its counted rows are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -62,6 +40,15 @@ def byte_slices(column: pa.Array) -> Iterator[bytes]:
         yield b"" if missing else bytes(data[offsets[k] : offsets[k + 1]])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most BATCH_BYTES (or one row), so that a worker's
+    memory doesn't depend on how long texts are. Sets the session's limit where it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def in_training(doc_id="doc_id"):
     """True for documents that models may learn from: crc32 of the id as text, modulo 4, is not 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 != 2, F.lit(True))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import broadcast_if_small, byte_slices, reducers, stored, table
+from tessella.llm.common import bounded_batches, broadcast_if_small, byte_slices, reducers, stored, table
 
 #: Fixed value: the characters that normalising deletes.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -154,6 +154,7 @@ def _receive(owners: int):
 
 def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     owners = reducers(documents.sparkSession)
     sent = stored(_send(docs, owners), "fingerprints")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import in_training, table
+from tessella.llm.common import bounded_batches, in_training, table
 from tessella.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 from tessella.llm.tokens import folded, text_pieces
 
@@ -153,6 +153,7 @@ def fit(rows: list, languages: list[str]) -> Model:
 
 def train(documents: DataFrame, most: int = MAX_TRAIN) -> Model | None:
     """A model from a bounded, balanced sample of the documents outside the held-out fold."""
+    bounded_batches(documents.sparkSession)
     usable = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training()).select(
         F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1)).alias("order"), F.col("text").cast("string").alias("text")
     )
@@ -188,6 +189,7 @@ def train(documents: DataFrame, most: int = MAX_TRAIN) -> Model | None:
 
 def identified(documents: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The ``keep`` columns of every row, ``lang_pred`` and ``score``."""
+    bounded_batches(documents.sparkSession)
     source = documents.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType(list(source.schema.fields[:-1])).add("lang_pred", "string").add("score", "double")
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import broadcast_if_small, reducers, stored, table
+from tessella.llm.common import bounded_batches, broadcast_if_small, reducers, stored, table
 from tessella.llm.components import connected_components
 from tessella.llm.tokens import mix, text_pieces, windows, words
 
@@ -51,7 +51,6 @@ RARE, FLOOR = 1000.0, 0.75
 
 #: Bounds of a block: nodes and words.
 BLOCK_NODES, BLOCK_WORDS = 200, 1_000_000
-PIECE = 1 << 20
 #: A tournament goes on while each round leaves at most this share of the roots.
 SHRINK = 0.8
 
@@ -142,7 +141,7 @@ def document_frequencies(docs: DataFrame) -> Weights:
     def count(batches):
         counters, n_docs = np.zeros(1 << DF_BITS, np.int64), 0
         for batch in batches:
-            for _, _, raw, offsets in text_pieces(batch.column(0), PIECE):
+            for _, _, raw, offsets in text_pieces(batch.column(0)):
                 _, doc, value, _ = shingles(raw, offsets)
                 counters += np.bincount((value >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
                 n_docs += len(np.unique(doc))
@@ -180,7 +179,7 @@ def _signatures(docs: DataFrame, weights) -> DataFrame:
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
-            for first, last, raw, offsets in text_pieces(batch.column(1), PIECE):
+            for first, last, raw, offsets in text_pieces(batch.column(1)):
                 found, doc, value, count = shingles(raw, offsets)
                 t1, t2 = text_keys(found)
                 n_words = np.bincount(found.doc, minlength=last - first)
@@ -241,7 +240,7 @@ class _Texts:
         n = len(self.node)
         self.value: list = [np.zeros(0, np.uint64)] * n
         self.weight: list = [np.zeros(0)] * n
-        for first, _, raw, offsets in text_pieces(rows.column("text"), PIECE):
+        for first, _, raw, offsets in text_pieces(rows.column("text")):
             _, doc, value, count = shingles(raw, offsets)
             weight = np.exp(weights.log_weights(value, count).astype(np.float64))
             cuts = np.searchsorted(doc, np.arange(1, len(offsets) - 1))
@@ -407,7 +406,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = [text_keys(words(raw, offsets, punctuation=False)) for _, _, raw, offsets in text_pieces(batch.column(0), PIECE)]
+            keys = [text_keys(words(raw, offsets, punctuation=False)) for _, _, raw, offsets in text_pieces(batch.column(0))]
             t1, t2 = (np.concatenate([k[i] for k in keys]).view(np.int64) if keys else np.zeros(0, np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), batch.column(0)], names=["t1", "t2", "text"])
 
@@ -416,6 +415,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, ``class_id`` (the class's least id), ``class_size`` and ``kept``."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     weights = documents.sparkSession.sparkContext.broadcast(document_frequencies(docs))
     signed = stored(_signatures(docs, weights), "signatures")

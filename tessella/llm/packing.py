@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessella.llm.common import stored, table
+from tessella.llm.common import bounded_batches, stored, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -200,6 +200,7 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
 def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ``ids``,
     little-endian 32-bit, if asked for). ``tokenizer`` is a vocabulary file on the executors."""
+    bounded_batches(documents.sparkSession)
     cuts = stored(pieces(documents, id_col, text_col, capacity, tokenizer, with_ids), "pieces")
     counts = cuts.groupBy("length", "pid").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

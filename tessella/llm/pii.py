@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import table
+from tessella.llm.common import bounded_batches, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "account")
@@ -162,6 +162,7 @@ def redact(text: str, kinds: tuple[str, ...] = REDACTED) -> str:
 
 def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts of the base kinds, ``base_sha256`` of the base spans and ``spans``, all spans."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)])
     for kind in BASE_KINDS:
@@ -180,6 +181,7 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def redacted(documents: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All columns and rows, with the text redacted (null stays null) and its length column brought up to date."""
+    bounded_batches(documents.sparkSession)
     schema = documents.schema
     at = schema.names.index(text_col)
     length_at = schema.names.index(length_col) if length_col in schema.names else None

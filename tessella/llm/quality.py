@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import in_training, table
+from tessella.llm.common import bounded_batches, in_training, table
 from tessella.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 from tessella.llm.tokens import mix, text_pieces, words
 
@@ -127,6 +127,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 
 def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Indicator sets and labels of at most ``most`` labelled documents outside the held-out fold."""
+    bounded_batches(documents.sparkSession)
     known = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & in_training())
         .groupBy("doc_id")
@@ -160,6 +161,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Mod
 
 def scored(documents: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The ``keep`` columns of every row, its ``score`` and ``predicted``."""
+    bounded_batches(documents.sparkSession)
     source = documents.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType(list(source.schema.fields[:-1])).add("score", "double").add("predicted", "integer")
     shared = documents.sparkSession.sparkContext.broadcast(model)

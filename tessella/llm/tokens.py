@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on together; bounds the arrays' memory (one longer text stands alone).
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _MASK = (1 << 64) - 1
 _FACTOR = 0x9E3779B97F4A7C15

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import broadcast_if_small, stored, table
+from tessella.llm.common import bounded_batches, broadcast_if_small, stored, table
 
 # Signatures and sizes of the ZIP format (APPNOTE 6.3).
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -177,6 +177,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, zip64:
 
     ``pages`` has page_id, url, payload (binary), digest and refers_to.
     """
+    bounded_batches(pages.sparkSession)
 
     def run(batches):
         pid, number = TaskContext.get().partitionId(), 0
