@@ -1,0 +1,175 @@
+"""Divergence, exact dedup, personal data, language and quality against brute force, with edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessella.llm import divergence, exact_dedup, langid, pii, quality
+
+WORD = re.compile("[^\x20\x09-\x0D]+")
+
+
+def base_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    covered = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n = len(words)
+    failed = n < 10 or 100 * len(covered) > 20 * n
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_divergence_counts(edge_docs, edge_rows, spark):
+    rows = [(k, t) for k, (_, t, _, _) in enumerate(edge_rows)] + [(900, "a b c d e f " * 9), (901, "\n".join(["one two", "", "one two", "three"] * 4)), (902, "a a a a a a")]
+    found = divergence.judged(spark.createDataFrame(rows, "doc_id long, text string"), lang_col=None)
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found.collect()}
+    assert got == {k: base_counts(t) for k, t in rows}
+    assert found.filter("base_failed AND kept").count() == 0
+
+
+def test_divergence_drops_odd_histograms_and_keeps_prose(edge_docs, spark):
+    judged = divergence.judged(edge_docs)
+    long_prose = judged.filter("doc_id >= 100 AND n_words >= 50 AND NOT base_failed")
+    assert long_prose.filter("NOT kept").count() <= 0.02 * long_prose.count()
+    odd = spark.createDataFrame([(1, " ".join(f"#{k}$%" for k in range(200)), "en"), (2, " ".join(f"#{k}$%" for k in range(200)), "xx")], "doc_id long, text string, lang string")
+    both = edge_docs.select("doc_id", "text", "lang").filter("doc_id >= 100").unionByName(odd)
+    kept = {r.doc_id: r.kept for r in divergence.judged(both).filter("doc_id < 3").collect()}
+    assert kept == {1: False, 2: True}  # a given language without references isn't compared
+
+
+def test_divergence_of_nothing(no_docs):
+    assert divergence.judged(no_docs).count() == 0
+
+
+def test_exact_groups(edge_docs, edge_rows, no_docs):
+    groups = {}
+    for doc_id, text, _, _ in edge_rows:
+        groups.setdefault(re.sub("[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), doc_id is None, doc_id or 0, doc_id))
+    wanted = Counter()
+    for norm, members in groups.items():
+        keep = min(members)[3]
+        for _, _, _, doc_id in members:
+            wanted[doc_id, keep, len(members), doc_id == keep, hashlib.sha256(norm.encode()).hexdigest()] += 1
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(edge_docs).collect())
+    assert got == wanted
+    assert exact_dedup.exact_groups(no_docs).count() == 0
+
+
+def test_hot_group_of_copies(spark):
+    rows = [(k, "same text " + " " * (k % 3)) for k in range(3000)] + [(k, f"other {k}") for k in range(3000, 6000)]
+    found = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))
+    assert found.filter("group_size = 3000 AND keep_id = 2").count() == 3000
+    assert found.filter("kept").count() == 3001
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**48 - 1), min_size=1, max_size=400), st.integers(0, 1000))
+def test_golomb_round_trip(values, base):
+    ordered = np.array(sorted(v + base for v in values), np.uint64)
+    assert (exact_dedup.golomb_decode(exact_dedup.golomb_encode(ordered, base), base) == ordered).all()
+
+
+def test_owners_cover_all_fingerprints():
+    ends = np.array([0, 2**48 - 1], np.uint64)
+    for owners in (1, 3, 7, 200):
+        assert exact_dedup.owner_of(ends, owners).tolist() == [0, owners - 1]
+
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def base_spans(text):
+    def digits(s):
+        return re.sub("[^0-9]", "", s)
+
+    valid = {
+        "email": lambda s: True,
+        "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+        "card": lambda s: 16 <= len(digits(s)) <= 19 and pii.luhn(digits(s)),
+        "phone": lambda s: 8 <= len(digits(s)) <= 15,
+    }
+    return {kind: [m.span() for m in rule.finditer(text) if valid[kind](m.group())] for kind, rule in BASE.items()}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="aB10295..@@+-( )  é%_x/:", max_size=60))
+def test_base_spans_match_the_rules(text):
+    found = pii.find_spans(text)
+    assert {k: found[k] for k in BASE} == base_spans(text)
+
+
+def test_personal_data_rows(edge_docs, edge_rows, no_docs):
+    wanted = Counter()
+    for doc_id, text, _, _ in edge_rows:
+        spans = base_spans(text or "")
+        digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k in BASE for s, e in spans[k]).encode()).hexdigest()
+        wanted[(doc_id, *(len(spans[k]) for k in BASE), digest)] += 1
+    assert Counter(tuple(r)[:6] for r in pii.personal_data(edge_docs).collect()) == wanted
+    assert pii.personal_data(no_docs).count() == 0
+
+
+def test_added_kinds_and_redaction(edge_docs):
+    text = "See https://x.org/a?b=1. IBAN: DE89 3704 0044 0532 0130 00, Konto: 1234 5678 90. IBAN: DE00 3704 0044 0532 0130 00"
+    found = pii.find_spans(text)
+    assert [text[s:e] for s, e in found["url"]] == ["https://x.org/a?b=1"]
+    assert [text[s:e] for s, e in found["iban"]] == ["DE89 3704 0044 0532 0130 00"]
+    assert [text[s:e] for s, e in found["account"]] == ["1234 5678 90"]
+    assert pii.redact("mail a.b@c.de now, or +49 (30) 1234567.") == "mail <EMAIL> now, or <PHONE>."
+    assert pii.redact("nothing here") == "nothing here"
+    redacted = pii.redacted(edge_docs, "text", "n_chars")
+    assert redacted.columns == edge_docs.columns
+    by_id = {r.doc_id: r for r in redacted.filter("doc_id in (0, 8)").collect()}
+    assert by_id[0].text is None and by_id[0].n_chars is None
+    assert by_id[8].text == "<EMAIL>, <PHONE>; 10.0.0.256, <IP>, <CARD>" and by_id[8].n_chars == len(by_id[8].text)
+    for row in redacted.select("text").collect():
+        assert not any(base_spans(row.text or "").values())
+
+
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def test_language_of_held_out_documents(edge_docs, edge_rows, no_docs):
+    found = langid.identified(edge_docs, langid.train(edge_docs), ["doc_id", "lang", "text"]).collect()
+    assert len(found) == len(edge_rows)
+    assert all(0 <= r.score <= 1 for r in found)
+    for r in found:
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    tested = [r for r in found if r.doc_id is not None and r.doc_id >= 100 and held_out(r.doc_id)]
+    assert len(tested) > 20
+    assert sum(r.lang_pred == r.lang for r in tested) >= 0.95 * len(tested)
+    assert langid.identified(no_docs, langid.train(no_docs), ["doc_id"]).count() == 0
+    assert {r.lang_pred for r in langid.identified(edge_docs, None, ["doc_id"]).collect()} == {"und"}
+    assert langid.family_of("en") == "germanic" and langid.family_of("tlh") == "tlh"
+
+
+def test_quality_of_held_out_documents(spark, sf_dir):
+    documents, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(documents, labels)
+    found = quality.scored(documents, model, ["doc_id"]).join(labels, "doc_id").collect()
+    tested = [r for r in found if held_out(r.doc_id)]
+    assert sum(r.predicted == r.quality for r in tested) >= 0.95 * len(tested)
+    assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in found)
+    clean = [r for r in found if r.quality == 1]
+    assert sum(r.predicted for r in clean) >= 0.98 * len(clean)
+
+
+@pytest.mark.parametrize("labels", [[], [(100, 1), (101, 1)], [(100, None), (None, 1)], [(k, k % 2) for k in range(100, 130)] * 2])
+def test_quality_with_few_labels(spark, edge_docs, edge_rows, no_docs, labels):
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(edge_docs, table)
+    found = quality.scored(edge_docs, model, ["doc_id"]).collect()
+    assert len(found) == len(edge_rows) and all(0 <= r.score <= 1 for r in found)
+    assert quality.scored(no_docs, model, ["doc_id"]).count() == 0
