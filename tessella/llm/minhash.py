@@ -335,13 +335,14 @@ def _blocks_of(n: str, n_words: str):
 def _in_blocks(members: DataFrame, level: int) -> DataFrame:
     """Members (comp, node, n_words) with ``n_blocks`` of their component and their ``block``."""
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).select("comp", _blocks_of("n", "words").alias("n_blocks"))
-    return members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(level)), F.col("n_blocks")).cast("int"))
+    sizes = stored(sizes, "sizes")
+    return members.join(broadcast_if_small(sizes, sizes.count()), "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(level)), F.col("n_blocks")).cast("int"))
 
 
 def _classes(nodes: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
     """(node, root) of all nodes that stand in a bucket with others."""
     labels = connected_components(_bucket_links(nodes))
-    members = labels.join(nodes, "node").select(F.col("label").alias("comp"), "node", "n_words", "first_id", "t1", "t2", "bands", "bytes")
+    members = stored(labels.join(nodes, "node").select(F.col("label").alias("comp"), "node", "n_words", "first_id", "t1", "t2", "bands", "bytes"), "candidates")
     placed = stored(_in_blocks(members, 0), "members")
     wanted = placed.select(F.col("first_id").alias("wanted")).distinct()
     texts = docs.join(broadcast_if_small(wanted, placed.count()), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
@@ -358,7 +359,8 @@ def _classes(nodes: DataFrame, docs: DataFrame, weights, threshold: float) -> Da
             break
         before = total
         open_heads = heads.join(counted.select("comp"), "comp", "left_semi").select("comp", "node")
-        again = stored(_in_blocks(open_heads.join(full.select("node", "n_words"), "node"), level), "heads")
+        open_heads = stored(open_heads.join(full.select("node", "n_words"), "node"), "open")
+        again = stored(_in_blocks(open_heads, level), "heads")
         met = stored(_link_blocks(again.join(full.select("node", "bands", "bytes", "text"), "node"), weights, threshold), "met")
         pairs = met.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v")
         links = pairs if links is None else links.union(pairs)
