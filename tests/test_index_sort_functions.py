@@ -98,3 +98,15 @@ def test_stream_filter_and_static_join(spark, tmp_path):
     query = continuous.write_stream(select_equal(joined, "name", "one"), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [k for k in range(30) if k % 3 == 1]
+
+
+def test_stored_tables_can_be_released(spark):
+    from tessella.storage import release, stored
+
+    table = stored(spark.range(5).toDF("x"), "five")
+    assert table.count() == 5
+    path = table.inputFiles()[0]
+    assert release(spark) >= 1
+    from pathlib import Path
+
+    assert not Path(path.removeprefix("file://")).exists()
