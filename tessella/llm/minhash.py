@@ -350,8 +350,9 @@ def _classes(nodes: DataFrame, docs: DataFrame, weights, threshold: float) -> Da
     full = stored(placed.drop("first_id").join(keyed, ["t1", "t2"]).drop("t1", "t2"), "texts")
     roots = stored(_link_blocks(full, weights, threshold), "roots")
     level, links, before = 1, None, None
-    many = full.filter("n_blocks > 1").select("comp").distinct()
-    heads = roots.filter("node = root").join(many, "comp", "left_semi")
+    several = stored(full.filter("n_blocks > 1").select("comp", "n_blocks").distinct(), "several")
+    several = broadcast_if_small(several, several.count())
+    heads = roots.filter("node = root").join(several, "comp", "left_semi")
     while True:
         counted = heads.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         total = counted.agg(F.sum("n")).first()[0] or 0
@@ -370,7 +371,7 @@ def _classes(nodes: DataFrame, docs: DataFrame, weights, threshold: float) -> Da
     roots = _joined(roots, links)
     if level > 1 or before:
         roots = stored(roots, "roots")
-        across = _across(full, roots, weights, threshold)
+        across = _across(full, roots, several, weights, threshold)
         if across is not None:
             roots = _joined(roots, across)
     return roots.select("node", "root")
@@ -384,10 +385,9 @@ def _joined(roots: DataFrame, links: DataFrame | None) -> DataFrame:
     return roots.join(merged.withColumnRenamed("node", "root"), "root", "left").select("comp", "node", F.coalesce("label", "root").alias("root"))
 
 
-def _across(full: DataFrame, roots: DataFrame, weights, threshold: float) -> DataFrame | None:
-    """Links between classes of components of several blocks: all that is outside the largest
+def _across(full: DataFrame, roots: DataFrame, several: DataFrame, weights, threshold: float) -> DataFrame | None:
+    """Links between classes of components of ``several`` blocks: all that is outside the largest
     class against every block."""
-    several = full.filter("n_blocks > 1").select("comp", "n_blocks").distinct()
     sizes = roots.join(several, "comp").groupBy("comp", "n_blocks", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("comp", "n_blocks").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all")).filter("classes > 1")
     largest = stored(largest.select("comp", F.col("n_blocks").alias("blocks"), F.col("most.root").alias("main"), (F.col("all") - F.col("most.n")).alias("outside")), "largest")
