@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import bounded_batches, in_training, table
 from tessella.llm.linear import fit_hinge, fit_sigmoid, sigmoid
-from tessella.llm.tokens import folded, text_pieces
+from tessella.llm.tokens import LONG, folded, text_pieces
 
 MAX_TRAIN = 2000
 BITS = 13
@@ -69,14 +69,27 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return found
 
 
+def parts(raw: np.ndarray, offsets: np.ndarray):
+    """(bytes, offsets) to work on at once: all of them, or parts of one long text (the few
+    n-grams across its cuts don't count)."""
+    if len(offsets) != 2 or len(raw) <= LONG:
+        yield raw, offsets
+        return
+    for first in range(0, len(raw), LONG):
+        part = raw[first : first + LONG]
+        yield part, np.array([0, len(part)])
+
+
 def sparse_rows(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Numbers and values of each text's features."""
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    key = np.concatenate([doc[inside] << BITS | g[inside] for g, inside in grams(raw, offsets)])
-    unique, counts = np.unique(key, return_counts=True)
-    size = np.maximum(1, np.diff(offsets))
-    values = SCALE * counts / size[unique >> BITS]
-    cuts = np.searchsorted(unique >> BITS, np.arange(1, len(offsets) - 1))
+    n, found = len(offsets) - 1, []
+    for part, own in parts(raw, offsets):
+        doc = np.repeat(np.arange(n), np.diff(own))
+        found.append(np.unique(np.concatenate([doc[inside] << BITS | g[inside] for g, inside in grams(part, own)]), return_counts=True))
+    unique, at = np.unique(np.concatenate([u for u, _ in found]), return_inverse=True)
+    counts = np.bincount(at, weights=np.concatenate([c for _, c in found]), minlength=len(unique))
+    values = SCALE * counts / np.maximum(1, np.diff(offsets))[unique >> BITS]
+    cuts = np.searchsorted(unique >> BITS, np.arange(1, n))
     return list(zip(np.split(unique & ((1 << BITS) - 1), cuts), np.split(values, cuts), strict=True))
 
 
@@ -87,12 +100,16 @@ class Machine:
     slope: float
     offset: float
 
-    def probability(self, hashed, doc_offsets) -> np.ndarray:
-        total = np.zeros(len(doc_offsets) - 1)
+    def sums(self, hashed, offsets: np.ndarray) -> np.ndarray:
+        """Sum of each text's n-gram weights."""
+        total = np.zeros(len(offsets) - 1)
         for g, inside in hashed:
-            sums = np.concatenate([[0.0], np.cumsum(self.weights[g] * inside, dtype=np.float64)])
-            total += sums[doc_offsets[1:]] - sums[doc_offsets[:-1]]
-        margins = SCALE * total / np.maximum(1, np.diff(doc_offsets)) + self.bias
+            running = np.concatenate([[0.0], np.cumsum(self.weights[g] * inside, dtype=np.float64)])
+            total += running[offsets[1:]] - running[offsets[:-1]]
+        return total
+
+    def probability(self, total: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        margins = SCALE * total / np.maximum(1, np.diff(offsets)) + self.bias
         return sigmoid(self.slope * margins + self.offset)
 
 
@@ -114,11 +131,16 @@ class Model:
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language of each text, and score."""
-        n, hashed = len(offsets) - 1, grams(raw, offsets)
+        n, machines = len(offsets) - 1, {**self.of_family, **self.of_pair}
+        total = {key: np.zeros(n) for key in machines}
+        for part, own in parts(raw, offsets):
+            hashed = grams(part, own)
+            for key, machine in machines.items():
+                total[key] += machine.sums(hashed, own)
         families = np.ones((n, len(self.families)))
         for k, name in enumerate(self.families):
             if name in self.of_family:
-                families[:, k] = self.of_family[name].probability(hashed, offsets)
+                families[:, k] = self.of_family[name].probability(total[name], offsets)
         if len(self.families) == 2 and self.of_family:
             families[:, 1] = 1 - families[:, 0]
         families /= np.maximum(families.sum(axis=1, keepdims=True), 1e-12)
@@ -131,7 +153,7 @@ class Model:
             if len(members) == 1:
                 votes[mine, index[members[0]]] = 1.0
             for a, b in combinations(members, 2):
-                p = self.of_pair[a, b].probability(hashed, offsets)
+                p = self.of_pair[a, b].probability(total[a, b], offsets)
                 votes[mine, index[a]] += p[mine] / (len(members) - 1)
                 votes[mine, index[b]] += (1 - p[mine]) / (len(members) - 1)
         return votes.argmax(axis=1), np.clip(best * votes.max(axis=1), 0.0, 1.0)

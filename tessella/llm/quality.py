@@ -53,7 +53,7 @@ def shapes(found) -> np.ndarray:
     bits = np.bitwise_or.reduceat(_CLASS[raw], found.start) if len(found.start) else np.zeros(0, np.uint8)
     length = found.end - found.start
     first_upper = (_CLASS[raw[found.start]] == 2).astype(np.int64)
-    uppers = np.add.reduceat((_CLASS[raw] == 2).astype(np.int32), found.start) if len(found.start) else np.zeros(0, np.int32)
+    uppers = np.add.reduceat((_CLASS[raw] == 2).view(np.uint8), found.start, dtype=np.int32) if len(found.start) else np.zeros(0, np.int32)
     many_upper = (uppers >= 2).astype(np.int64)
     last = _LAST[raw[found.end - 1]].astype(np.int64)
     double = ((length > 1) & (raw[found.end - 1] == raw[np.maximum(found.end - 2, 0)]) & (last > 0)).astype(np.int64)

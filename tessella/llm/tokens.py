@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on together; bounds the arrays' memory (one longer text stands alone).
 PIECE = 1 << 20
+#: Bytes of one text that are worked on together, where it can be cut.
+LONG = 4 << 20
 
 _MASK = (1 << 64) - 1
 _FACTOR = 0x9E3779B97F4A7C15
@@ -78,8 +80,26 @@ def text_pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int,
 
 def words(raw: np.ndarray, offsets: np.ndarray, punctuation: bool) -> Words:
     """Words: runs of bytes that aren't ASCII white space, or (without ``punctuation``) of
-    ASCII letters, digits and bytes beyond ASCII."""
-    inside = (_NO_SPACE if punctuation else _ASCII_WORD)[raw]
+    ASCII letters, digits and bytes beyond ASCII. A long text is worked on in parts that end
+    with a word, so that memory grows with its words, not its bytes."""
+    kind = _NO_SPACE if punctuation else _ASCII_WORD
+    if len(offsets) != 2 or len(raw) <= LONG:
+        return _words(raw, offsets, kind)
+    found, first = [], 0
+    while first < len(raw):
+        last = min(first + LONG, len(raw))
+        while last < len(raw) and kind[raw[last - 1]]:
+            gap = np.flatnonzero(~kind[raw[last : last + LONG]])[:1]
+            last = last + int(gap[0]) + 1 if len(gap) else min(last + LONG, len(raw))
+        part = _words(raw[first:last], np.array([0, last - first]), kind)
+        found.append((part.start + first, part.end + first, part.hash))
+        first = last
+    start, end, hashed = (np.concatenate(x) for x in zip(*found, strict=True))
+    return Words(raw, offsets, np.zeros(len(start), np.int64), start, end, hashed)
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
+    inside = kind[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[offsets] = True
     before = np.empty_like(inside)

@@ -173,3 +173,23 @@ def test_quality_with_few_labels(spark, edge_docs, edge_rows, no_docs, labels):
     found = quality.scored(edge_docs, model, ["doc_id"]).collect()
     assert len(found) == len(edge_rows) and all(0 <= r.score <= 1 for r in found)
     assert quality.scored(no_docs, model, ["doc_id"]).count() == 0
+
+
+def test_long_texts_in_parts(monkeypatch):
+    """Cutting a long text changes neither its words nor (but for n-grams at cuts) its features."""
+    from tessella.llm import tokens
+
+    rng = np.random.default_rng(9)
+    text = " ".join("".join(rng.choice(list("abcdé.,!"), rng.integers(1, 12))) for _ in range(3000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(raw)])
+    whole = [tokens.words(raw, offsets, p) for p in (True, False)]
+    features = dict(zip(*langid.sparse_rows(raw, offsets)[0], strict=True))
+    monkeypatch.setattr(tokens, "LONG", 501)
+    monkeypatch.setattr(langid, "LONG", 501)
+    for punctuation, found in zip((True, False), whole, strict=True):
+        cut = tokens.words(raw, offsets, punctuation)
+        assert (cut.start == found.start).all() and (cut.end == found.end).all() and (cut.hash == found.hash).all()
+    parts = dict(zip(*langid.sparse_rows(raw, offsets)[0], strict=True))
+    off = sum(abs(features.get(k, 0) - parts.get(k, 0)) for k in {*features, *parts})
+    assert off <= 0.02 * sum(features.values())
