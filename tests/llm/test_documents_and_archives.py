@@ -92,17 +92,52 @@ def test_packing_rows(edge_docs, edge_rows, no_docs, byte_level):
         assert zlib.crc32(r.ids) == r.ids_crc32
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=40))
-def test_plans_are_tight(histogram):
-    plan = packing.make_plan(histogram, 64)
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying every placement (for a few items)."""
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + sizes[k] <= capacity:
+                place(k + 1, [*bins[:i], bins[i] + sizes[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def planned(histogram, capacity):
+    plan = packing.make_plan(histogram, capacity)
     length = np.repeat(list(histogram), list(histogram.values())).astype(np.int64) if histogram else np.zeros(0, np.int64)
     rank = np.concatenate([np.arange(n) for n in histogram.values()]) if histogram else np.zeros(0, np.int64)
     sequence, offset = plan.place(length, rank)
     rows = [type("Row", (), {"sequence_id": s, "offset": o, "length": n}) for s, o, n in zip(sequence.tolist(), offset.tolist(), length.tolist(), strict=True)]
-    assert check_sequences(rows, 64) == plan.bins
-    least = max(-(-int(length.sum()) // 64), int((length > 32).sum()))
-    assert plan.bins <= 1.3 * least + 1
+    assert check_sequences(rows, capacity) == plan.bins
+    return plan.bins
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=40))
+def test_plans_place_every_piece(histogram):
+    planned(histogram, 64)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=8))
+def test_plans_are_near_the_optimum(sizes):
+    assert planned(dict(Counter(sizes)), 64) <= fewest_bins(sorted(sizes, reverse=True), 64) + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(22, 64), max_size=8))
+def test_large_items_are_matched_optimally(sizes):
+    assert planned(dict(Counter(sizes)), 64) == fewest_bins(sorted(sizes, reverse=True), 64)
 
 
 CONTROLS = st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "[", "\n", "a", "é", "<\\|im_end|>", "\\n"]), max_size=12).map("".join)
