@@ -8,8 +8,10 @@ Stages, each over all that its predecessor kept:
 4. ``pii``: personal data in the texts is replaced by placeholders.
 5. ``pack``: the texts are tokenised and packed into sequences.
 
-All stages but the last return the columns of ``documents``. Documents without an id are kept
-or dropped by the same rules (as one id); repeated rows share their fate.
+All stages but the last return the columns of ``documents``, whatever further ones there are.
+Documents without an id, or with one that others have too, are each kept or dropped by their own
+texts; rows that repeat both id and text share their fate; null and empty texts have no near
+duplicates; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,24 +23,31 @@ from tessella.llm import exact_dedup, minhash, packing, pii, quality
 from tessella.llm.common import broadcast_if_small, stored, table
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Names and texts of documents. A name holds a hash of the text, so that rows which lack an
+    id, or share one, are told apart; rows without an id come last among equals."""
+    name = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return docs.select(name.alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``dropped``."""
-    gone = stored(dropped.select(F.col("doc_id").alias("gone")).distinct(), "dropped")
-    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """The rows of ``docs`` whose names aren't in ``dropped``."""
+    gone = stored(dropped.select(F.col("doc_id.id").alias("__gone_id"), F.col("doc_id.hash").alias("__gone_hash")).distinct(), "dropped")
+    same = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_hash"))
+    return docs.join(broadcast_if_small(gone, gone.count()), same, "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit the quality classifier on the labels of these documents; keep those it predicts as good."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_groups(docs).filter("NOT kept"))
+    return _without(docs, exact_dedup.exact_groups(_named(docs)).filter("NOT kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(docs).filter("NOT kept"))
+    return _without(docs, minhash.near_duplicates(_named(docs)).filter("NOT kept"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

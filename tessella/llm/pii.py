@@ -129,8 +129,8 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 start -= 1
             while start < at and not text[start].isalpha():
                 start += 1
-            m = _URL_REST.match(text, last + 1)
-            if start < at and m and (rest := m.group().rstrip(".,;:!?)*")):
+            m = _URL_REST.match(text, last + 1) if start < at else None  # within a URL, nothing is matched again
+            if m and (rest := m.group().rstrip(".,;:!?)*")):
                 url_end = m.start() + len(rest)
                 spans["url"].append((start, url_end))
         elif at >= cue_end and (at == 0 or not text[at - 1].isalnum()):

@@ -175,6 +175,21 @@ def scored(documents: DataFrame, model: Model, keep: list[str], text_col: str =
     return source.mapInArrow(run, schema)
 
 
+def accepted(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """All columns (whatever their names) of the rows that the model predicts as good."""
+    bounded_batches(documents.sparkSession)
+    at = documents.schema.names.index(text_col)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            scores = [shared.value.scores(raw, offsets) for _, _, raw, offsets in text_pieces(batch.column(at).cast(pa.string()))]
+            found = np.concatenate(scores) if scores else np.zeros(0)
+            yield batch.filter(pa.array(found >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op7_quality_nbsvm(spark, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     documents = table(spark, sf_dir, "documents")

@@ -124,6 +124,32 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_stages_tell_rows_without_ids_apart(spark):
+    """Null and shared ids, clashing names, null and empty texts."""
+    rng = random.Random(12)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(120)) for _ in range(8)]
+    close = texts[3] + " more"
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, None), (2, ""), (3, texts[2]), (3, texts[3]), (None, close), (4, None), (5, texts[4] + " "), (5, texts[4]), (6, texts[5]), (6, texts[5])]
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 0.5, 1, b"z") for r in rows], "doc_id long, text string, gone string, id int, kept string, score double, predicted int, bands binary").repartition(3)
+    exact = corpus_pipeline.stored(corpus_pipeline.exact_stage(spark, docs, ""), "exact")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    got = sorted(((r.doc_id, r.text) for r in exact.collect()), key=key)
+    assert exact.columns == docs.columns
+    assert got == sorted([(1, texts[0]), (None, texts[1]), (2, ""), (3, texts[2]), (3, texts[3]), (None, close), (5, texts[4] + " "), (6, texts[5]), (6, texts[5])], key=key)
+    near = corpus_pipeline.stored(corpus_pipeline.near_stage(spark, exact, ""), "near")
+    got.remove((None, close))
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=key) == got and near.columns == docs.columns
+
+
+def test_stages_with_edges(spark, edge_docs, no_docs, tmp_path):
+    spark.createDataFrame([(100 + k, 1 - (k % 5 == 0)) for k in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (edge_docs.limit(20), no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            found = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), name)
+            assert name == "pack" or found.columns == docs.columns
+            assert found.count() <= docs.count() or name == "pack"
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
