@@ -6,7 +6,8 @@ within it, one machine for each pair of its languages discriminates the closely
 Sigmoids turn margins into probabilities; the score is the family's times the language's.
 
 Models are fitted on at most ``MAX_TRAIN`` texts, the same number of each language, chosen by a
-hash of the id among those with a language and with crc32 of the id modulo 4 other than 2.
+hash of id and text among those with a language and with crc32 of the id modulo 4 other than 2.
+Rows that repeat both count once, so what reaches the driver stays bounded.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, or when nothing can
 be learned; with one language to learn from, that one; repeated rows are treated alike. Only the
@@ -177,7 +178,7 @@ def train(documents: DataFrame, most: int = MAX_TRAIN) -> Model | None:
     """A model from a bounded, balanced sample of the documents outside the held-out fold."""
     bounded_batches(documents.sparkSession)
     usable = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training()).select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1)).alias("order"), F.col("text").cast("string").alias("text")
+        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.col("text").cast("string")).bitwiseAND(F.lit(2**63 - 1)).alias("order"), F.col("text").cast("string").alias("text")
     )
     counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
@@ -197,8 +198,9 @@ def train(documents: DataFrame, most: int = MAX_TRAIN) -> Model | None:
                     values.append(value.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.binary()), pa.array(values, pa.binary())], names=["lang", "order", "numbers", "values"])
 
-    found = usable.filter(wanted).mapInArrow(run, "lang string, order long, numbers binary, values binary").collect()
-    found.sort(key=lambda r: (r.lang, r.order, r.numbers))
+    each_row = usable.filter(wanted).mapInArrow(run, "lang string, order long, numbers binary, values binary")
+    distinct = each_row.groupBy("lang", "order").agg(F.min(F.struct("numbers", "values")).alias("least"))  # however often id and text are repeated
+    found = sorted(distinct.select("lang", "order", "least.*").collect(), key=lambda r: (r.lang, r.order))
     used: dict[str, int] = {}
     rows, languages = [], []
     for r in found:
