@@ -7,7 +7,8 @@ log-count ratio, then a linear hinge-loss model is fitted by dual coordinate des
 interpolated with its mean weight; a sigmoid turns margins into scores.
 
 Labels are learned from at most ``MAX_TRAIN`` labelled documents, chosen by a hash of the id
-among those whose crc32 modulo 4 is not 2.
+among those whose crc32 modulo 4 is not 2. Of several rows with such an id, one is learned from
+(least in the bytes of its features), so that what reaches the driver stays bounded.
 
 Defined results: a null or empty text is scored by the bias alone; several labels of a document
 count as the highest; null labels are ignored; with labels of one class only, or none, every
@@ -139,7 +140,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> tuple[l
         bound = int((most / total) * 2**63 * 1.05)
         known = known.filter(F.col("order").bitwiseAND(F.lit(2**63 - 1)) < F.lit(min(bound, 2**63 - 1)))
     known = known.orderBy(F.col("order").bitwiseAND(F.lit(2**63 - 1)), "doc_id").limit(most)
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("order", "doc_id", "label", "text")
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("order", F.col("doc_id").cast("string").alias("doc_id"), "label", "text")
 
     def run(batches):
         for batch in batches:
@@ -150,8 +151,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> tuple[l
                 grams += [g.astype("<i4").tobytes() for g in np.split(gram, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], names=["order", "doc_id", "label", "grams"])
 
-    rows = texts.mapInArrow(run, "order long, doc_id long, label int, grams binary").collect()
-    rows = sorted(rows, key=lambda r: (r.order & (2**63 - 1), r.doc_id, r.label))[:most]
+    found = texts.mapInArrow(run, "order long, doc_id string, label int, grams binary")
+    rows = found.groupBy("order", "doc_id", "label").agg(F.min("grams").alias("grams")).collect()  # a row an id, however often it is repeated
+    rows = sorted(rows, key=lambda r: (r.order & (2**63 - 1), r.doc_id))
     return [np.frombuffer(r.grams, "<i4").astype(np.int64) for r in rows], np.array([r.label for r in rows])
 
 

@@ -175,6 +175,18 @@ def test_quality_with_few_labels(spark, edge_docs, edge_rows, no_docs, labels):
     assert quality.scored(no_docs, model, ["doc_id"]).count() == 0
 
 
+def test_repeated_ids_are_learned_from_once(spark):
+    """An id of most rows, or rows without one, doesn't grow what the driver gets."""
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    docs = spark.range(3000).selectExpr("IF(id % 3 = 0, 3, 1) AS doc_id", "concat('Word, ', id % 7, ' here!') AS text").repartition(6)
+    rows, known = quality.training_rows(docs, labels, 10)
+    assert len(rows) == 2 and sorted(known.tolist()) == [0, 1]
+    docs = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "IF(id % 2 = 0, 'das ist ein haus', 'this is a house') AS text", "IF(id % 2 = 0, 'de', 'en') AS lang")
+    model = langid.train(docs)
+    assert model.languages == ["de", "en"]
+    assert {(r.text, r.lang_pred) for r in langid.identified(docs, model, ["text"]).collect()} == {("das ist ein haus", "de"), ("this is a house", "en")}
+
+
 def test_long_texts_in_parts(monkeypatch):
     """Cutting a long text changes neither its words nor (but for n-grams at cuts) its features."""
     from tessella.llm import tokens
