@@ -10,8 +10,8 @@ Stages, each over all that its predecessor kept:
 
 All stages but the last return the columns of ``documents``, whatever further ones there are.
 Documents without an id, or with one that others have too, are each kept or dropped by their own
-texts; rows that repeat both id and text share their fate; null and empty texts have no near
-duplicates; an empty table gives no rows.
+texts; of equal rows without an id one stays; rows that repeat both id and text share their fate;
+null and empty texts have no near duplicates; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,18 +23,25 @@ from tessella.llm import exact_dedup, minhash, packing, pii, quality
 from tessella.llm.common import broadcast_if_small, stored, table
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: a number of its own for each row without an id, written once so
+    that it stays; null for the others."""
+    absent = stored(docs.filter("doc_id IS NULL").withColumn("__row", F.monotonically_increasing_id()), "absent")
+    return docs.filter("doc_id IS NOT NULL").withColumn("__row", F.lit(None).cast("long")).union(absent)
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    """Names and texts of documents. A name holds a hash of the text, so that rows which lack an
-    id, or share one, are told apart; rows without an id come last among equals."""
-    name = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    """Names and texts of numbered documents. A name holds a hash of the text, so that rows which
+    share an id are told apart, and the number of a row without an id; those come last among equals."""
+    name = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
     return docs.select(name.alias("doc_id"), "text")
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose names aren't in ``dropped``."""
-    gone = stored(dropped.select(F.col("doc_id.id").alias("__gone_id"), F.col("doc_id.hash").alias("__gone_hash")).distinct(), "dropped")
-    same = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_hash"))
-    return docs.join(broadcast_if_small(gone, gone.count()), same, "left_anti")
+    """The rows of numbered ``docs`` whose names aren't in ``dropped``."""
+    gone = stored(dropped.select(*[F.col(f"doc_id.{k}").alias(f"__gone_{k}") for k in ("id", "hash", "row")]).distinct(), "dropped")
+    same = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_hash")) & F.col("__row").eqNullSafe(F.col("__gone_row"))
+    return docs.join(broadcast_if_small(gone, gone.count()), same, "left_anti").drop("__row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +50,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_groups(_named(docs)).filter("NOT kept"))
+    docs = _numbered(docs)
+    return _without(docs, exact_dedup.exact_groups(_named(docs)).filter("NOT doc_id <=> keep_id"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(_named(docs)).filter("NOT kept"))
+    docs = _numbered(docs)
+    return _without(docs, minhash.near_duplicates(_named(docs)).filter("NOT doc_id <=> class_id"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ in the shared folder, so partitions and their fingerprints stay as they were whe
 
 Defined results: a null text counts as empty; empty texts are equal to each other; ties on
 length go to the smallest id, null ids last; rows that repeat an id and a text form one group,
-and each row with the kept id is kept. An empty table gives no rows. Only the id and text
+and each row with the kept id is kept (as in ``ORACLE_OP2``); of a group without any id, one row
+is kept, the first of the longest. An empty table gives no rows. Only the id and text
 columns are read, so other columns may have any names.
 """
 
@@ -88,11 +89,12 @@ def _segments(distinct: np.ndarray, owners: int):
 
 
 def _send(docs: DataFrame, owners: int) -> DataFrame:
-    """Rows of kind 0 (a document's id, digest and length) and kind 1 (a list for an owner)."""
+    """Rows of kind 0 (a document's number, id, digest and length) and kind 1 (a list for an owner)."""
     schema = T.StructType(
         [
             T.StructField("kind", T.IntegerType()),
             T.StructField("pid", T.IntegerType()),
+            T.StructField("uid", T.LongType()),
             T.StructField("id", docs.schema["id"].dataType),
             T.StructField("sha", T.StringType()),
             T.StructField("n_points", T.LongType()),
@@ -103,6 +105,7 @@ def _send(docs: DataFrame, owners: int) -> DataFrame:
 
     def run(batches):
         pid, seen = TaskContext.get().partitionId(), []
+        uid = pid << 40
         for batch in batches:
             texts, n = batch.column(1), batch.num_rows
             digests, points, hexes = [], [], []
@@ -113,15 +116,16 @@ def _send(docs: DataFrame, owners: int) -> DataFrame:
                 points.append(len(raw.translate(None, _CONTINUATION)))
             seen.append(fingerprints(b"".join(digests)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), pa.array([pid] * n, pa.int32()), batch.column(0), pa.array(hexes, pa.string()), pa.array(points, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [pa.array([0] * n, pa.int32()), pa.array([pid] * n, pa.int32()), pa.array(np.arange(uid, uid + n)), batch.column(0), pa.array(hexes, pa.string()), pa.array(points, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=schema.names,
             )
+            uid += n
         if seen:
             distinct = np.unique(np.concatenate(seen))
             lists = [(o, golomb_encode(distinct[s:e], o * owner_width(owners))) for o, s, e in _segments(distinct, owners)]
             n = len(lists)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * n, pa.int32()), pa.array([pid] * n, pa.int32()), pa.nulls(n, batch.schema.field(0).type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([o for o, _ in lists], pa.int32()), pa.array([b for _, b in lists], pa.binary())],
+                [pa.array([1] * n, pa.int32()), pa.array([pid] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, batch.schema.field(0).type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([o for o, _ in lists], pa.int32()), pa.array([b for _, b in lists], pa.binary())],
                 names=schema.names,
             )
 
@@ -158,11 +162,11 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     owners = reducers(documents.sparkSession)
     sent = stored(_send(docs, owners), "fingerprints")
-    narrow = sent.filter("kind = 0").select("pid", "id", "sha", "n_points")
+    narrow = sent.filter("kind = 0").select("pid", "uid", "id", "sha", "n_points")
     lists = sent.filter("kind = 1").select("pid", "owner", "blob")
     answers = lists.groupBy("owner").applyInPandas(_answer(owners), "pid int, owner int, bitmap binary")
     kind = T.StructType([T.StructField("id", docs.schema["id"].dataType)])
-    suspects = stored(narrow.groupBy("pid").cogroup(answers.groupBy("pid")).applyInPandas(_receive(owners), kind).distinct(), "suspects")
+    suspects = stored(narrow.drop("uid").groupBy("pid").cogroup(answers.groupBy("pid")).applyInPandas(_receive(owners), kind).distinct(), "suspects")
     wanted = broadcast_if_small(suspects.withColumnRenamed("id", "wanted"), suspects.count())
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     order = F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("longest"), F.col("id").isNull().alias("absent"), F.col("id").alias("id"))
@@ -173,10 +177,12 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         .filter("group_size > 1")
         .select(F.sha2(F.col("bytes").cast("binary"), 256).alias("sha"), F.col("first.id").alias("first_id"), F.col("group_size"))
     )
+    absent = narrow.filter("id IS NULL").groupBy("sha").agg(F.min(F.struct((-F.col("n_points")).alias("longest"), "uid")).alias("absent")).select("sha", F.col("absent.uid").alias("first_uid"))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("first_id"))
+    other = F.col("group_size").isNotNull() & F.col("id").isNull() & (F.col("uid") != F.col("first_uid"))
     return (
-        narrow.join(verified, "sha", "left")
-        .select(F.col("id"), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+        narrow.join(verified.join(absent, "sha", "left"), "sha", "left")
+        .select(F.col("id"), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("id").eqNullSafe(keep) & ~F.coalesce(other, F.lit(False))).alias("kept"), F.col("sha").alias("text_sha256"))
         .withColumnRenamed("id", id_col)
     )
 

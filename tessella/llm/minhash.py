@@ -17,7 +17,8 @@ Nothing that grows with the corpus is collected or broadcast: the weight table h
 
 Defined results: a text without words is a class of its own; texts under five words have one
 shingle, of all their words; null ids never name a class unless all of its ids are null;
-repeated rows are in one class. An empty table gives no rows. Only the id and text are read.
+repeated rows are in one class. One row of each class is kept, the first of those with its id.
+An empty table gives no rows. Only the id and text are read.
 """
 
 from __future__ import annotations
@@ -416,7 +417,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, ``class_id`` (the class's least id), ``class_size`` and ``kept``."""
+    """One row per document: id, ``class_id`` (the class's least id), ``class_size`` and ``kept``
+    (true for one row of each class)."""
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     weights = documents.sparkSession.sparkContext.broadcast(document_frequencies(docs))
@@ -427,12 +429,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = stored(_classes(nodes, docs, weights, threshold), "classes")
     of_text = nodes.select("t1", "t2", "node").join(classes, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
     placed = signed.select("uid", "id", "t1", "t2", F.col("bands").isNotNull().alias("full")).join(of_text.withColumn("full", F.lit(True)), ["t1", "t2", "full"], "left")
-    placed = placed.select("id", F.coalesce("root", "uid").alias("root"))
-    summed = placed.groupBy("root").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
-    several = stored(summed.select("root", F.col("least.id").alias("first_id"), "class_size"), "sizes")
+    placed = placed.select("uid", "id", F.coalesce("root", "uid").alias("root"))
+    summed = placed.groupBy("root").agg(F.min(F.struct(order.alias("o"), "uid")).alias("least"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
+    several = stored(summed.select("root", F.col("least.o.id").alias("first_id"), F.col("least.uid").alias("first_uid"), "class_size"), "sizes")
     joined = placed.join(several, "root", "left")  # a plain shuffled join, whose hot classes adaptive execution splits
     class_id = F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("first_id"))
-    return joined.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))
+    return joined.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (F.col("uid") == F.coalesce("first_uid", "uid")).alias("kept"))
 
 
 def op8_minhash_icws(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near duplicates against brute force, hot groups, components, and the pipeline."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import minhash, registry, tokens
+from tessella.llm import exact_dedup, minhash, registry, tokens
 from tessella.llm.components import connected_components
 
 
@@ -141,6 +142,33 @@ def test_stages_tell_rows_without_ids_apart(spark):
     assert sorted(((r.doc_id, r.text) for r in near.collect()), key=key) == got and near.columns == docs.columns
 
 
+def test_one_row_stays_of_copies_without_ids(spark):
+    """Byte-identical rows without an id: as a hot group, and beside others that have ids."""
+    rng = random.Random(21)
+    texts = [" ".join(f"c{rng.randrange(10**6)}" for _ in range(100)) for _ in range(5)]
+    rows = [(None, texts[0])] * 60 + [(None, texts[1])] * 2 + [(None, texts[1] + "  ")] * 2 + [(7, texts[2])] + [(None, texts[2])] * 3 + [(8, texts[3]), (None, texts[4])] + [(None, None)] * 2
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int").repartition(4)
+    left = Counter([(None, texts[0]), (None, texts[1] + "  "), (7, texts[2]), (8, texts[3]), (None, texts[4]), (None, None)])
+    exact = corpus_pipeline.stored(corpus_pipeline.exact_stage(spark, docs, ""), "exact")
+    assert exact.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == left
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, exact, "").collect()) == left
+    near = Counter((r.doc_id, (r.text or "").strip()) for r in corpus_pipeline.near_stage(spark, docs, "").collect())
+    assert near == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (None, texts[4]), (None, ""), (None, "")])
+    kept = [r for r in exact_dedup.exact_groups(docs).collect() if r.kept]
+    assert Counter((r.doc_id, r.group_size) for r in kept) == Counter([(None, 60), (None, 4), (7, 4), (8, 1), (None, 1), (None, 2)])
+
+
+def test_one_row_is_kept_of_each_class(spark):
+    """Shared and missing ids: classes by text, one row kept in each."""
+    rng = random.Random(22)
+    texts = [" ".join(f"d{rng.randrange(10**6)}" for _ in range(100)) for _ in range(3)]
+    rows = [(None, texts[0])] * 9 + [(4, texts[1]), (4, texts[1] + " more"), (None, texts[1])] + [(5, texts[2])] * 2 + [(6, texts[2])]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in found if r.kept) == Counter([(None, None, 9), (4, 4, 3), (5, 5, 3)])
+    assert len(found) == len(rows)
+
+
 def test_stages_with_edges(spark, edge_docs, no_docs, tmp_path):
     spark.createDataFrame([(100 + k, 1 - (k % 5 == 0)) for k in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     for docs in (edge_docs.limit(20), no_docs):
