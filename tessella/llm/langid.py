@@ -7,7 +7,8 @@ Sigmoids turn margins into probabilities; the score is the family's times the la
 
 Models are fitted on at most ``MAX_TRAIN`` texts, the same number of each language, chosen by a
 hash of id and text among those with a language and with crc32 of the id modulo 4 other than 2.
-Rows that repeat both count once, so what reaches the driver stays bounded.
+Rows that repeat both count once, in the bounds of the draw too, so what reaches the driver stays
+bounded and no language loses texts to its repeated rows.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, or when nothing can
 be learned; with one language to learn from, that one; repeated rows are treated alike. Only the
@@ -180,7 +181,8 @@ def train(documents: DataFrame, most: int = MAX_TRAIN) -> Model | None:
     usable = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training()).select(
         F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.col("text").cast("string")).bitwiseAND(F.lit(2**63 - 1)).alias("order"), F.col("text").cast("string").alias("text")
     )
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
+    known = usable.groupBy("lang", "order").agg(F.count(F.lit(1)).alias("rows"))  # the bounds are on distinct texts, as is what's drawn
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return None
     each = max(1, most // len(counts))

@@ -187,6 +187,15 @@ def test_repeated_ids_are_learned_from_once(spark):
     assert {(r.text, r.lang_pred) for r in langid.identified(docs, model, ["text"]).collect()} == {("das ist ein haus", "de"), ("this is a house", "en")}
 
 
+def test_repeated_rows_take_no_share_of_the_sample(spark, monkeypatch):
+    """A language of few distinct texts and many repeated rows is learned from as much as others."""
+    docs = spark.range(40_000).selectExpr("IF(id < 400, id, CAST(NULL AS LONG)) AS doc_id", "IF(id < 200, 'en', 'es') AS lang", "IF(id < 400, concat('text ', id), 'la misma casa') AS text").repartition(4)
+    learned = []
+    monkeypatch.setattr(langid, "fit", lambda rows, languages: learned.append(Counter(languages)))
+    langid.train(docs, 40)
+    assert learned == [Counter(en=20, es=20)]
+
+
 def test_long_texts_in_parts(monkeypatch):
     """Cutting a long text changes neither its words nor (but for n-grams at cuts) its features."""
     from tessella.llm import tokens
