@@ -65,7 +65,8 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
     found = []
     code = low.copy()
     for n in (2, 3, 4):
-        code[: len(low) - n + 1] = (code[: len(low) - n + 1] << 8) | low[n - 1 :]
+        whole = max(0, len(low) - n + 1)
+        code[:whole] = (code[:whole] << 8) | low[n - 1 :]
         hashed = ((code ^ np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         found.append((hashed, np.arange(n, len(low) + n) <= ends))
     return found

@@ -196,6 +196,18 @@ def test_repeated_rows_take_no_share_of_the_sample(spark, monkeypatch):
     assert learned == [Counter(en=20, es=20)]
 
 
+@pytest.mark.parametrize("text", ["", "o", "ok", "é", "oké"[:3], "okay"])
+def test_language_of_very_short_texts(text, monkeypatch):
+    """Alone, and as the last part of a long text."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found = langid.grams(raw, np.array([0, len(raw)]))
+    assert [int(inside.sum()) for _, inside in found] == [max(0, len(raw) - n + 1) for n in (2, 3, 4)]
+    monkeypatch.setattr(langid, "LONG", 8)
+    tail = np.frombuffer(b"longtext" + text.encode(), np.uint8)
+    (numbers, values), *more = langid.sparse_rows(tail, np.array([0, len(tail)]))
+    assert len(numbers) == len(values) >= 18 and not more
+
+
 def test_long_texts_in_parts(monkeypatch):
     """Cutting a long text changes neither its words nor (but for n-grams at cuts) its features."""
     from tessella.llm import tokens
