@@ -38,7 +38,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _URL_REST = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
-_IBAN = re.compile(r"[:\x20]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[:\x20]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?:\x20[A-Z0-9])?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number|nummer|num))?\.?[:#\x20]{1,3}([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])")
 
 IBAN_CUES = ("IBAN", "iban")
@@ -135,9 +135,12 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 spans["url"].append((start, url_end))
         elif at >= cue_end and (at == 0 or not text[at - 1].isalnum()):
             m = (_IBAN if parser == "iban" else _ACCOUNT).match(text, last + 1)
-            if m and (parser == "account" or valid_iban(m[1])):
-                spans[parser].append(m.span(1))
-                cue_end = m.end()
+            value = m[1] if m else ""
+            while parser == "iban" and value and not valid_iban(value):
+                value = value.rpartition(" ")[0]  # what follows the number may look like its groups
+            if value:
+                cue_end = m.start(1) + len(value)
+                spans[parser].append((m.start(1), cue_end))
     spans["ip"], spans["card"] = _addresses(text, runs), _cards(text, runs)
     return spans
 

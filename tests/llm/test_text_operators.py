@@ -137,6 +137,17 @@ def test_added_kinds_and_redaction(edge_docs):
         assert not any(base_spans(row.text or "").values())
 
 
+@pytest.mark.parametrize("number", ["CH93 0076 2011 6238 5295 7", "UA21 3223 1300 0002 6007 2335 6600 1", "DE89 3704 0044 0532 0130 00"])
+def test_printed_ibans(number):
+    """Groups of four with a rest of any length, and with what may look like further groups behind."""
+    for shown in (number, number.replace(" ", "")):
+        for after in ("", ".", " A", " 1", " BIC", " A b", " Abc", ", x"):
+            text = f"IBAN: {shown}{after}"
+            assert [text[s:e] for s, e in pii.find_spans(text)["iban"]] == [shown]
+            assert pii.redact(text) == f"IBAN: <IBAN>{after}"
+        assert not pii.find_spans(f"IBAN: {shown[:-1]}{(int(shown[-1]) + 1) % 10}")["iban"]
+
+
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
