@@ -11,7 +11,7 @@ among those whose crc32 modulo 4 is not 2. Of several rows with such an id, one
 (least in the bytes of its features), so that what reaches the driver stays bounded.
 
 Defined results: a null or empty text is scored by the bias alone; several labels of a document
-count as the highest; null labels are ignored; with labels of one class only, or none, every
+count as the highest; texts that differ only in words of equal shape score alike; null labels are ignored; with labels of one class only, or none, every
 score is the smoothed share of label 1; repeated rows score alike. Only the id and text columns
 are read.
 """
