@@ -7,8 +7,8 @@ the texts writes a narrow table of counts, from which references and verdicts ar
 references are one row per language of ``COMMON_WORDS``, so they may be broadcast.
 
 Base rules: at least 10 words, and at most a fifth of the words in repeated 5-word windows.
-Length guards: character classes are compared from ``MIN_CHARS`` characters on, words from
-``MIN_WORDS`` words on; shorter documents aren't judged by that histogram.
+Length guards: both histograms are compared from ``MIN_CHARS`` characters and ``MIN_WORDS`` words
+on; documents that are shorter by either are judged by the base rules alone.
 
 Defined results: a null text has no words and fails the base rules; a document whose language is
 null, or isn't known, is compared with the language whose common words it holds most of (the
