@@ -6,26 +6,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.storage import shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "bounded_batches", "broadcast_if_small", "byte_slices", "in_training", "reducers", "shared_dir", "stored", "table"]
+__all__ = ["BROADCAST_BYTES", "bounded_batches", "broadcast_if_small", "byte_slices", "in_training", "reducers", "shared_dir", "stored", "table"]
 
-#: Rows of a narrow id table (about 16 bytes each) that may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 400_000
+#: Measured bytes of a table that may be broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 8 << 20
 
 BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer scan tasks than cores is dealt over all cores (its files are small,
+    and a row group can't be split otherwise)."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a narrow table for broadcast when its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _width(kind: T.DataType, column) -> Column:
+    """Bytes of a value, without overhead."""
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, column[f.name]) for f in kind.fields), F.lit(8))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    return F.lit(8) if isinstance(kind, T.AtomicType) else F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 64
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a (stored) table for broadcast when its rows and values, measured, are within the bound."""
+    each = sum((_width(f.dataType, df[f.name]) for f in df.schema.fields), F.lit(8))
+    size = df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def byte_slices(column: pa.Array) -> Iterator[bytes]:
@@ -54,7 +70,5 @@ def in_training(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 != 2, F.lit(True))
 
 
-
-
 def reducers(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -167,7 +167,7 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     answers = lists.groupBy("owner").applyInPandas(_answer(owners), "pid int, owner int, bitmap binary")
     kind = T.StructType([T.StructField("id", docs.schema["id"].dataType)])
     suspects = stored(narrow.drop("uid").groupBy("pid").cogroup(answers.groupBy("pid")).applyInPandas(_receive(owners), kind).distinct(), "suspects")
-    wanted = broadcast_if_small(suspects.withColumnRenamed("id", "wanted"), suspects.count())
+    wanted = broadcast_if_small(suspects.withColumnRenamed("id", "wanted"))
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     order = F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("longest"), F.col("id").isNull().alias("absent"), F.col("id").alias("id"))
     verified = (

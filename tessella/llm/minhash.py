@@ -1,32 +1,38 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of all shingles (five words, case and punctuation folded) are counted
-   over the whole corpus in a table of fixed size, hashed; the table's background (the median of
-   its counters) is taken off. A shingle's weight is its frequency in the text times its damped
-   inverse document frequency.
-2. Texts with the same words are one node. Every node gets ``BANDS * ROWS`` samples by improved
-   consistent weighted sampling; equal samples of a whole band make two nodes candidates.
+1. Document frequencies of all shingles (five words, folded as in :mod:`tessella.llm.tokens`) are
+   counted over the whole corpus in two hashed tables of fixed size; the lesser counter, less its
+   table's background (the median), stands. Copies and near copies shouldn't make their own
+   shingles look common, so texts count by families: texts with the same least shingle share one
+   count (family sizes come from tables of the same kind). A shingle's weight is its frequency in
+   the text times ln(1 + families / document frequency).
+2. Texts with the same words (128 bits of BLAKE2 over them) are one node. Every node gets
+   ``BANDS * ROWS`` samples by improved consistent weighted sampling; equal samples of a whole
+   band make two nodes candidates.
 3. Candidates are first linked to the least node of their bucket only, and the components of
-   those links, found without any pair list, are cut into blocks of bounded size. A task compares
-   the candidates within a block by exact weighted Jaccard similarity and joins linked nodes.
+   those links, found without any pair list, are cut in sorted order into blocks of at most
+   ``BLOCK_NODES`` nodes. A task compares the candidates within a block by exact weighted Jaccard
+   similarity and joins linked nodes.
 4. Components of several blocks hold a tournament: the blocks' class roots meet in new blocks
-   until one is left. What is then still outside the component's largest class is compared, block
-   against block, with every node in another class, so no link between candidates is lost.
+   until they hardly shrink. Buckets that then still hold several classes are worked through
+   block against block: signatures first, then the texts of those that may be linked, so no link
+   between candidates is lost.
 
-Nothing that grows with the corpus is collected or broadcast: the weight table has a fixed size.
+Nothing that grows with the corpus is collected or broadcast unmeasured: the tables have a fixed
+size. Frequencies below a table's noise (which grows with the root of the corpus) weigh alike.
 
 Defined results: a text without words is a class of its own; texts under five words have one
 shingle, of all their words; null ids never name a class unless all of its ids are null;
 repeated rows are in one class. One row of each class is kept, the first of those with its id.
-An empty table gives no rows. Only the id and text are read.
+An empty table gives no rows. Only the id and text are read. Texts of any length are compared
+whole; characters of scripts without spaces are words.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,7 +41,7 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import bounded_batches, broadcast_if_small, reducers, stored, table
 from tessella.llm.components import connected_components
-from tessella.llm.tokens import mix, text_pieces, windows, words
+from tessella.llm.tokens import mix, text_digests, text_pieces, windows, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -45,13 +51,11 @@ SAMPLES = BANDS * ROWS
 #: at the threshold a pair falls below with a probability of about 1 in 20,000.
 AGREE = 33
 
-#: Counters of the document frequencies: 2 ** DF_BITS; they go in DF_BLOCKS parts.
-DF_BITS, DF_BLOCKS, DF_SHARDS = 20, 64, 64
-#: Shingles in fewer than one of RARE documents weigh 1, and none weighs under FLOOR.
-RARE, FLOOR = 1000.0, 0.75
+#: Counters of a table: 2 ** DF_BITS; they travel in DF_BLOCKS parts.
+DF_TABLES, DF_BITS, DF_BLOCKS, DF_SHARDS = 2, 20, 16, 16
 
-#: Bounds of a block: nodes and words.
-BLOCK_NODES, BLOCK_WORDS = 200, 1_000_000
+#: Bounds of a block: nodes, and words (but for a longer text).
+BLOCK_NODES, BLOCK_WORDS = 160, 1_000_000
 #: A tournament goes on while each round leaves at most this share of the roots.
 SHRINK = 0.8
 
@@ -78,20 +82,6 @@ def shingles(raw: np.ndarray, offsets: np.ndarray):
     return found, doc[at], value[at], np.diff(np.append(at, len(doc)))
 
 
-def text_keys(found) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each document's sequence of words, and 0 for one without words."""
-    counts = np.bincount(found.doc, minlength=found.n_docs)
-    keys = np.zeros((2, found.n_docs), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        first = np.cumsum(counts[full]) - counts[full]
-        place = np.arange(len(found.doc)) - np.repeat(first, counts[full])
-        for k, factor in enumerate((_FIRST, _SECOND)):
-            powers = np.cumprod(np.full(int(counts.max()), factor, np.uint64))
-            keys[k, full] = mix(np.add.reduceat(found.hash * powers[place], first) + counts[full].astype(np.uint64))
-    return keys[0], keys[1]
-
-
 def samples(doc: np.ndarray, value: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
     """Improved consistent weighted samples, one row for each document that has shingles."""
     starts = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -120,54 +110,123 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _slots(value: np.ndarray) -> list[np.ndarray]:
+    """The counter of each hash in each table."""
+    shift = np.uint64(64 - DF_BITS)
+    return [((value * _FACTORS[k]) >> shift).astype(np.int64) for k in range(DF_TABLES)]
+
+
+class Counts:
+    """How often hashed keys occur, from tables of fixed size; never less than ``least``, the noise."""
+
+    def __init__(self, tables: np.ndarray, total: float):
+        background = np.median(tables, axis=1)
+        self.total = total
+        self.least = max(1.0, 4.0 * float(np.sqrt(background.max())))
+        self.found = np.maximum(tables - background[:, None], self.least).astype(np.float32)
+
+    def of(self, value: np.ndarray) -> np.ndarray:
+        slots = _slots(value)
+        found = self.found[0][slots[0]]
+        for k in range(1, DF_TABLES):
+            found = np.minimum(found, self.found[k][slots[k]])
+        return found
+
+
 class Weights:
-    """Damped inverse document frequencies of hashed shingles."""
+    """Inverse document frequencies of hashed shingles, as shares of the rarest ones' weight."""
 
-    def __init__(self, counters: np.ndarray, n_docs: int):
-        used = counters[counters > 0]
-        background = max(0.0, float(np.median(used)) - 1) if len(used) > len(counters) // 2 else 0.0
-        frequency = np.maximum(1.0, counters - background)
-        rare = max(2.0, min(RARE, n_docs / 8))
-        weight = np.log(max(1, n_docs) / frequency) / np.log(rare)
-        self.log = np.log(np.clip(weight, FLOOR, 1.0)).astype(np.float32)
+    def __init__(self, counts: Counts):
+        self.counts = counts
+        n = max(1.0, counts.total)
+        self.log = np.log(np.log1p(n / counts.found) / np.log1p(n / counts.least)).astype(np.float32)
 
     def log_weights(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return self.log[value >> np.uint64(64 - DF_BITS)] + np.log(count).astype(np.float32)
+        slots = _slots(value)
+        idf = self.log[0][slots[0]]
+        for k in range(1, DF_TABLES):
+            idf = np.maximum(idf, self.log[k][slots[k]])
+        return idf + np.log(count).astype(np.float32)
 
 
-def document_frequencies(docs: DataFrame) -> Weights:
-    """Count in how many documents each (hashed) shingle stands, over all documents."""
+def count_hashed(docs: DataFrame, keys: Callable) -> Counts:
+    """Counters of the hashes and weights that ``keys(bytes, offsets)`` gives for all texts."""
     size = (1 << DF_BITS) // DF_BLOCKS
 
     def count(batches):
-        counters, n_docs = np.zeros(1 << DF_BITS, np.int64), 0
+        counters = np.zeros((DF_TABLES, 1 << DF_BITS))
+        total = 0.0
         for batch in batches:
             for _, _, raw, offsets in text_pieces(batch.column(0)):
-                _, doc, value, _ = shingles(raw, offsets)
-                counters += np.bincount((value >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
-                n_docs += len(np.unique(doc))
+                value, weight, n = keys(raw, offsets)
+                total += n
+                for table, slot in zip(counters, _slots(value), strict=True):
+                    table += np.bincount(slot, weights=weight, minlength=1 << DF_BITS)
         shard = TaskContext.get().partitionId() % DF_SHARDS
-        parts = [(k, p) for k in range(DF_BLOCKS) if (p := counters[k * size : (k + 1) * size]).any()]
-        blobs = [zlib.compress(p.astype("<i8").tobytes(), 1) for _, p in parts]
-        n = len(parts) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in parts] + [-1], pa.int32()), pa.array([shard] * n, pa.int32()), pa.array([*blobs, zlib.compress(np.array([n_docs], "<i8").tobytes())], pa.binary())], names=["block", "shard", "counts"]
-        )
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(b), "<i8") for b in rows.counts)
-        return pd.DataFrame({"block": [rows.block.iloc[0]], "shard": [0], "counts": [zlib.compress(np.asarray(total, "<i8").tobytes(), 1)]})
-
-    kind = "block int, shard int, counts binary"
-    parts = docs.select("text").mapInArrow(count, kind).groupBy("block", "shard").applyInPandas(add, kind)
-    counters, n_docs = np.zeros(1 << DF_BITS, np.int64), 0
-    for row in parts.groupBy("block").applyInPandas(add, kind).collect():  # DF_BLOCKS + 1 rows
-        values = np.frombuffer(zlib.decompress(row.counts), "<i8")
+        parts = [(t * DF_BLOCKS + k, p) for t in range(DF_TABLES) for k in range(DF_BLOCKS) if (p := counters[t, k * size : (k + 1) * size]).any()]
+        numbers, blobs = [k for k, _ in parts] + [-1], [_packed(p) for _, p in parts] + [_packed(np.append(total, np.zeros(size - 1)))]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([shard] * len(numbers), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "shard", "counts"])
+
+    def add(batches):
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for number, shard, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _add_packed(totals.setdefault((number, shard), np.zeros(size)), blob)
+        for (number, shard), total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([shard], pa.int32()), pa.array([_packed(total)], pa.binary())], names=["block", "shard", "counts"])
+
+    kind, n = "block int, shard int, counts binary", reducers(docs.sparkSession)
+    parts = docs.select("text").mapInArrow(count, kind).repartition(n, "block", "shard").mapInArrow(add, kind)
+    whole = parts.withColumn("shard", F.lit(0)).repartition(min(n, DF_TABLES * DF_BLOCKS), "block").mapInArrow(add, kind)
+    tables, total = np.zeros((DF_TABLES, 1 << DF_BITS)), 0.0
+    for row in whole.collect():  # DF_TABLES * DF_BLOCKS + 1 rows of fixed size
         if row.block < 0:
-            n_docs = int(values[0])
+            _add_packed(last := np.zeros(size), row.counts)
+            total = float(last[0])
         else:
-            counters[row.block * size : (row.block + 1) * size] = values
-    return Weights(counters, n_docs)
+            table, k = divmod(row.block, DF_BLOCKS)
+            _add_packed(tables[table, k * size : (k + 1) * size], row.counts)
+    return Counts(tables, total)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Counters as places and values, or as values alone where that is shorter."""
+    at = np.flatnonzero(values)
+    if 10 * len(at) < 8 * len(values):
+        return b"\1" + at.astype("<u2").tobytes() + values[at].astype("<f8").tobytes()
+    return b"\0" + values.astype("<f8").tobytes()
+
+
+def _add_packed(total: np.ndarray, blob: bytes) -> None:
+    if blob[0]:
+        n = (len(blob) - 1) // 10
+        total[np.frombuffer(blob, "<u2", n, 1)] += np.frombuffer(blob, "<f8", n, 1 + 2 * n)
+    else:
+        total += np.frombuffer(blob, "<f8", -1, 1)
+
+
+def families(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The least shingle (mixed anew) of each text that has words, each counting one."""
+    doc, value = windows(words(raw, offsets, punctuation=False), SHINGLE)
+    least = np.full(len(offsets) - 1, np.iinfo(np.uint64).max)
+    np.minimum.at(least, doc, value)
+    found = mix(least[np.unique(doc)])
+    return found, np.ones(len(found)), len(found)
+
+
+def document_frequencies(docs: DataFrame) -> Weights:
+    """In how many families of texts each shingle stands, over all documents."""
+    sizes = docs.sparkSession.sparkContext.broadcast(count_hashed(docs, families))
+
+    def keys(raw, offsets):
+        _, doc, value, _ = shingles(raw, offsets)
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        share = 1.0 / sizes.value.of(mix(value[first]))
+        if sizes.value.least > 1:
+            share = np.minimum(1.0, share * sizes.value.least)  # sizes within the noise count as one
+        return value, np.repeat(share, np.diff(np.append(first, len(doc)))), share.sum()
+
+    return Weights(count_hashed(docs, keys))
 
 
 def _signatures(docs: DataFrame, weights) -> DataFrame:
@@ -182,7 +241,7 @@ def _signatures(docs: DataFrame, weights) -> DataFrame:
             rows: list[list] = [[] for _ in range(5)]
             for first, last, raw, offsets in text_pieces(batch.column(1)):
                 found, doc, value, count = shingles(raw, offsets)
-                t1, t2 = text_keys(found)
+                t1, t2 = text_digests(found).T
                 n_words = np.bincount(found.doc, minlength=last - first)
                 bands: list = [None] * (last - first)
                 short: list = [None] * (last - first)
@@ -191,7 +250,7 @@ def _signatures(docs: DataFrame, weights) -> DataFrame:
                     keys, low = band_keys(drawn), (drawn & np.uint64(0xFF)).astype(np.uint8)
                     for k, d in enumerate(np.unique(doc).tolist()):
                         bands[d], short[d] = keys[k].tobytes(), low[k].tobytes()
-                for column, values in zip(rows, (t1.view(np.int64).tolist(), t2.view(np.int64).tolist(), n_words.tolist(), bands, short), strict=True):
+                for column, values in zip(rows, (t1.tolist(), t2.tolist(), n_words.tolist(), bands, short), strict=True):
                     column += values
             n = batch.num_rows
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -234,7 +293,7 @@ def _runs(batches, n_keys: int):
 
 
 class _Texts:
-    """Weighted shingles and signatures of the texts of a block."""
+    """Weighted shingles and signatures of the texts of a block (a table with node, bands, bytes, text)."""
 
     def __init__(self, rows: pa.Table, weights: Weights):
         self.node = rows.column("node").to_numpy()
@@ -280,7 +339,7 @@ def _link_blocks(rows: DataFrame, weights, threshold: float) -> DataFrame:
     """(comp, node, root) of rows (comp, block, node, bands, bytes, text): links within blocks."""
 
     def run(batches):
-        for (comp, _), block in _runs(batches, 2):
+        for _, block in _runs(batches, 1):
             texts = _Texts(block, weights.value)
             parent = list(range(len(texts.node)))
             for k in range(1, len(parent)):
@@ -292,68 +351,55 @@ def _link_blocks(rows: DataFrame, weights, threshold: float) -> DataFrame:
             roots = [_find(parent, k) for k in range(len(parent))]
             for k, root in enumerate(roots):
                 least[root] = min(least.get(root, texts.node[k]), texts.node[k])
-            yield pa.RecordBatch.from_arrays([pa.array([comp] * len(roots), pa.int64()), pa.array(texts.node), pa.array([least[r] for r in roots], pa.int64())], names=["comp", "node", "root"])
+            found = pa.array([least[r] for r in roots], pa.int64())
+            yield pa.RecordBatch.from_arrays([block.column("comp").combine_chunks(), pa.array(texts.node), found], names=["comp", "node", "root"])
 
-    return _dealt(rows, ["comp", "block"], ["comp", "block", "node", "bands", "bytes", "text"]).mapInArrow(run, "comp long, node long, root long")
+    dealt = _dealt(rows, ["block"], ["block", "comp", "node", "bands", "bytes", "text"])
+    return dealt.mapInArrow(run, "comp long, node long, root long")
 
 
 def _dealt(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return rows.select(*columns).repartition(reducers(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
-def _link_across(rows: DataFrame, weights, threshold: float) -> DataFrame:
-    """(u, v): roots of classes with a link between a text of the left and one of the right side."""
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members (comp, node, n_words, ...) with their ``block``: a run of the sorted rows of one
+    component, in one range partition, that keeps the bounds."""
+    names = members.columns
+    schema = T.StructType(list(members.schema.fields)).add("block", "long")
 
     def run(batches):
-        for _, block in _runs(batches, 3):
-            side = block.column("side").to_numpy()
-            left, right = (block.filter(pa.array(side == k)) for k in (0, 1))
-            if not left.num_rows or not right.num_rows:
-                continue
-            a, b = _Texts(left, weights.value), _Texts(right, weights.value)
-            of_a, of_b = left.column("root").to_pylist(), right.column("root").to_pylist()
-            names = {root: k for k, root in enumerate(sorted({*of_a, *of_b}))}
-            parent = list(range(len(names)))
-            links = []
-            for k in range(left.num_rows):
-                for m in a.candidates(k, b).tolist():
-                    x, y = _find(parent, names[of_a[k]]), _find(parent, names[of_b[m]])
-                    if x != y and a.linked(k, b, m, threshold):
-                        parent[max(x, y)] = min(x, y)
-                        links.append((of_a[k], of_b[m]))
-            if links:
-                u, v = zip(*links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    keys = ["comp", "left_block", "block"]
-    return _dealt(rows, keys, [*keys, "side", "root", "node", "bands", "bytes", "text"]).mapInArrow(run, "u long, v long")
-
-
-def _blocks_of(n: str, n_words: str):
-    return F.greatest(F.ceil(F.col(n) / BLOCK_NODES), F.ceil(F.col(n_words) / BLOCK_WORDS)).cast("int")
-
+        block = (TaskContext.get().partitionId() << 40) - 1
+        last, nodes, held = None, 0, 0
+        for batch in batches:
+            found = []
+            for comp, n in zip(batch.column(names.index("comp")).to_pylist(), batch.column(names.index("n_words")).to_pylist(), strict=True):
+                if comp != last or nodes == BLOCK_NODES or held + n > BLOCK_WORDS:
+                    block, last, nodes, held = block + 1, comp, 0, 0
+                nodes, held = nodes + 1, held + n
+                found.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*names, "block"])
 
-def _in_blocks(members: DataFrame, level: int) -> DataFrame:
-    """Members (comp, node, n_words) with ``n_blocks`` of their component and their ``block``."""
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).select("comp", _blocks_of("n", "words").alias("n_blocks"))
-    sizes = stored(sizes, "sizes")
-    return members.join(broadcast_if_small(sizes, sizes.count()), "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(level)), F.col("n_blocks")).cast("int"))
+    placed = members.repartitionByRange(reducers(members.sparkSession), "comp", "node").sortWithinPartitions("comp", "node")
+    return placed.mapInArrow(run, schema)
 
 
 def _classes(nodes: DataFrame, docs: DataFrame, weights, threshold: float) -> DataFrame:
     """(node, root) of all nodes that stand in a bucket with others."""
     labels = connected_components(_bucket_links(nodes))
-    members = stored(labels.join(nodes, "node").select(F.col("label").alias("comp"), "node", "n_words", "first_id", "t1", "t2", "bands", "bytes"), "candidates")
-    placed = stored(_in_blocks(members, 0), "members")
-    wanted = placed.select(F.col("first_id").alias("wanted")).distinct()
-    texts = docs.join(broadcast_if_small(wanted, placed.count()), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    columns = [F.col("label").alias("comp"), "node", "n_words", "first_id", "t1", "t2", "bands", "bytes"]
+    placed = stored(_in_blocks(labels.join(nodes, "node").select(*columns)), "members")
+    wanted = stored(placed.select(F.col("first_id").alias("wanted")).distinct(), "wanted")
+    texts = docs.join(broadcast_if_small(wanted), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     keyed = _keyed(texts).dropDuplicates(["t1", "t2"])
     full = stored(placed.drop("first_id").join(keyed, ["t1", "t2"]).drop("t1", "t2"), "texts")
     roots = stored(_link_blocks(full, weights, threshold), "roots")
-    level, links, before = 1, None, None
-    several = stored(full.filter("n_blocks > 1").select("comp", "n_blocks").distinct(), "several")
-    several = broadcast_if_small(several, several.count())
-    heads = roots.filter("node = root").join(several, "comp", "left_semi")
+    several = placed.groupBy("comp").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a <> b").select("comp")
+    several = stored(several, "several")
+    if several.isEmpty():
+        return roots.select("node", "root")
+    several = broadcast_if_small(several)
+    heads, before, links = roots.filter("node = root").join(several, "comp", "left_semi"), None, None
     while True:
         counted = heads.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         total = counted.agg(F.sum("n")).first()[0] or 0
@@ -361,21 +407,15 @@ def _classes(nodes: DataFrame, docs: DataFrame, weights, threshold: float) -> Da
             break
         before = total
         open_heads = heads.join(counted.select("comp"), "comp", "left_semi").select("comp", "node")
-        open_heads = stored(open_heads.join(full.select("node", "n_words"), "node"), "open")
-        again = stored(_in_blocks(open_heads, level), "heads")
+        again = stored(_in_blocks(open_heads.join(full.select("node", "n_words"), "node").select("comp", "node", "n_words")), "heads")
         met = stored(_link_blocks(again.join(full.select("node", "bands", "bytes", "text"), "node"), weights, threshold), "met")
         pairs = met.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v")
         links = pairs if links is None else links.union(pairs)
-        settled = again.filter("n_blocks > 1").select("comp").distinct()
-        heads = met.filter("node = root").join(settled, "comp", "left_semi")
-        level += 1
-    roots = _joined(roots, links)
-    if level > 1 or before:
-        roots = stored(roots, "roots")
-        across = _across(full, roots, several, weights, threshold)
-        if across is not None:
-            roots = _joined(roots, across)
-    return roots.select("node", "root")
+        open_comps = again.groupBy("comp").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a <> b").select("comp")
+        heads = met.filter("node = root").join(open_comps, "comp", "left_semi")
+    roots = stored(_joined(roots, links), "roots")
+    across = _across(full.join(several, "comp", "left_semi"), roots, weights, threshold)
+    return (_joined(roots, across) if across is not None else roots).select("node", "root")
 
 
 def _joined(roots: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -386,22 +426,116 @@ def _joined(roots: DataFrame, links: DataFrame | None) -> DataFrame:
     return roots.join(merged.withColumnRenamed("node", "root"), "root", "left").select("comp", "node", F.coalesce("label", "root").alias("root"))
 
 
-def _across(full: DataFrame, roots: DataFrame, several: DataFrame, weights, threshold: float) -> DataFrame | None:
-    """Links between classes of components of ``several`` blocks: all that is outside the largest
-    class against every block."""
-    sizes = roots.join(several, "comp").groupBy("comp", "n_blocks", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("comp", "n_blocks").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all")).filter("classes > 1")
-    largest = stored(largest.select("comp", F.col("n_blocks").alias("blocks"), F.col("most.root").alias("main"), (F.col("all") - F.col("most.n")).alias("outside")), "largest")
-    if largest.isEmpty():
+_PAIR = ["bucket", "left_block", "block"]
+
+
+def _across(full: DataFrame, roots: DataFrame, weights, threshold: float) -> DataFrame | None:
+    """Links between classes, from the buckets that hold several: in each, what is outside its
+    largest class is compared, block against block, with every node of another class."""
+    rooted = stored(full.select("node", "bands", "bytes").join(roots.select("node", "root"), "node"), "rooted")
+    members = stored(_band_members(rooted), "buckets")
+    counted = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    blocks = F.ceil((F.col("all") - F.col("most.n")) / BLOCK_NODES).cast("int").alias("left_blocks"), F.ceil(F.col("all") / BLOCK_NODES).cast("int").alias("blocks")
+    split = stored(split.select("bucket", F.col("most.root").alias("main"), *blocks), "split")
+    if split.isEmpty():
         return None
-    rows = full.join(roots.select("node", "root"), "node").join(largest, "comp")
-    columns = ["comp", "root", "node", "bands", "bytes", "text"]
-    left_blocks = F.ceil(F.col("outside") / BLOCK_NODES).cast("int")
-    outside = rows.filter("root <> main").withColumn("left_block", F.pmod(F.xxhash64("node", F.lit(-1)), left_blocks).cast("int"))
-    left = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    right = rows.withColumn("left_block", F.explode(F.sequence(F.lit(0), left_blocks - 1))).withColumn("side", F.lit(1))
-    every = left.select(*columns, "left_block", "block", "side").union(right.select(*columns, "left_block", "block", "side"))
-    return stored(_link_across(every, weights, threshold), "across")
+    rows = members.join(broadcast_if_small(split), "bucket").withColumn("outside", F.col("root") != F.col("main"))
+    left = rows.filter("outside").withColumn("left_block", F.pmod(F.xxhash64("node", F.lit(-1)), "left_blocks").cast("int"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    right = rows.withColumn("left_block", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)))
+    right = right.withColumn("block", F.pmod(F.xxhash64("node", F.lit(-2)), "blocks").cast("int")).withColumn("side", F.lit(1))
+    columns = [*_PAIR, "side", "node"]
+    narrow = left.select(*columns, "band", "root", "outside").union(right.select(*columns, "band", "root", "outside"))
+    signed = narrow.join(rooted.drop("root"), "node")
+    survivors = stored(_survivors(signed), "survivors")
+    with_texts = survivors.join(full.select("node", "text"), "node").join(rooted.drop("root"), "node")
+    return stored(_link_across(with_texts, weights, threshold), "across")
+
+
+def _band_members(rooted: DataFrame) -> DataFrame:
+    """(bucket, band, node, root): a row for each band of each node."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            node, root = (np.repeat(batch.column(k).to_numpy(), BANDS) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(node), pa.array(root)], names=["bucket", "band", "node", "root"])
+
+    return rooted.select("node", "bands", "root").mapInArrow(run, "bucket long, band int, node long, root long")
+
+
+class _Side:
+    """Signatures of one side of a pair of blocks."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        self.node, self.root = (rows.column(c).to_numpy() for c in ("node", "root"))
+        self.outside = rows.column("outside").to_numpy(zero_copy_only=False)
+        self.bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+        self.bytes = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+
+
+def _open_pairs(left: _Side, right: _Side, band: int):
+    """(k, places of the right side): pairs of different classes that may be linked, each in the
+    first band they share and, if both are outside the largest class, from the lesser node."""
+    for k in range(len(left.node)):
+        agree = (right.bytes == left.bytes[k]).sum(axis=1) >= AGREE
+        fresh = ~(right.bands[:, :band] == left.bands[k, :band]).any(axis=1)
+        once = ~right.outside | (left.node[k] < right.node)
+        found = np.flatnonzero(agree & fresh & once & (right.root != left.root[k]))
+        if len(found):
+            yield k, found
+
+
+def _sides(batches):
+    for _, block in _runs(batches, 3):
+        side = block.column("side").to_numpy()
+        left, right = (block.filter(pa.array(side == k)) for k in (0, 1))
+        if left.num_rows and right.num_rows:
+            yield block.column("band")[0].as_py(), _Side(left), _Side(right)
+
+
+def _survivors(rows: DataFrame) -> DataFrame:
+    """The rows of pairs of blocks whose signatures leave a possible link."""
+    kept = ["bucket", "left_block", "block", "side", "node", "band", "root", "outside"]
+
+    def run(batches):
+        for band, left, right in _sides(batches):
+            some, others = np.zeros(len(left.node), bool), np.zeros(len(right.node), bool)
+            for k, found in _open_pairs(left, right, band):
+                some[k] = others[found] = True
+            for side, mask in ((left, some), (right, others)):
+                if mask.any():
+                    yield from side.rows.select(kept).filter(pa.array(mask)).combine_chunks().to_batches()
+
+    kind = "bucket long, left_block int, block int, side int, node long, band int, root long, outside boolean"
+    return _dealt(rows, _PAIR, [*kept, "bands", "bytes"]).mapInArrow(run, kind)
+
+
+def _link_across(rows: DataFrame, weights, threshold: float) -> DataFrame:
+    """(u, v): roots of classes with a link between a text of the left and one of the right side."""
+
+    def run(batches):
+        for band, left, right in _sides(batches):
+            a, b = _Texts(left.rows, weights.value), _Texts(right.rows, weights.value)
+            of_a, of_b = left.root.tolist(), right.root.tolist()
+            names = {root: k for k, root in enumerate(sorted({*of_a, *of_b}))}
+            parent = list(range(len(names)))
+            links = []
+            for k, found in _open_pairs(left, right, band):
+                for m in found.tolist():
+                    x, y = _find(parent, names[of_a[k]]), _find(parent, names[of_b[m]])
+                    if x != y and a.linked(k, b, m, threshold):
+                        parent[max(x, y)] = min(x, y)
+                        links.append((of_a[k], of_b[m]))
+            if links:
+                u, v = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    columns = [*_PAIR, "side", "node", "band", "root", "outside", "bands", "bytes", "text"]
+    return _dealt(rows, _PAIR, columns).mapInArrow(run, "u long, v long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -409,9 +543,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = [text_keys(words(raw, offsets, punctuation=False)) for _, _, raw, offsets in text_pieces(batch.column(0))]
-            t1, t2 = (np.concatenate([k[i] for k in keys]).view(np.int64) if keys else np.zeros(0, np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), batch.column(0)], names=["t1", "t2", "text"])
+            keys = [text_digests(words(raw, offsets, punctuation=False)) for _, _, raw, offsets in text_pieces(batch.column(0))]
+            t1, t2 = np.concatenate(keys).T if keys else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t1)), pa.array(np.ascontiguousarray(t2)), batch.column(0)], names=["t1", "t2", "text"])
 
     return docs.select("text").mapInArrow(run, "t1 long, t2 long, text string")
 

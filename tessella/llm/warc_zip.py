@@ -239,7 +239,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     digested = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", raw.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = digested.filter(F.length("payload") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
     firsts = stored(firsts, "payloads")
-    joined = digested.join(broadcast_if_small(firsts, firsts.count()), "digest", "left")
+    joined = digested.join(broadcast_if_small(firsts), "digest", "left")
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 
