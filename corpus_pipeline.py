@@ -41,7 +41,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of numbered ``docs`` whose names aren't in ``dropped``."""
     gone = stored(dropped.select(*[F.col(f"doc_id.{k}").alias(f"__gone_{k}") for k in ("id", "hash", "row")]).distinct(), "dropped")
     same = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_hash")) & F.col("__row").eqNullSafe(F.col("__gone_row"))
-    return docs.join(broadcast_if_small(gone, gone.count()), same, "left_anti").drop("__row")
+    return docs.join(broadcast_if_small(gone), same, "left_anti").drop("__row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
