@@ -1,17 +1,19 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams (one to three) over words reduced to their shape: letter
-case, digits, symbols, last character, and whether a word repeats one shortly before; each n-gram
-has further indicators for being frequent in the text. Indicators are scaled by the classes'
-log-count ratio, then a linear hinge-loss model is fitted by dual coordinate descent and
-interpolated with its mean weight; a sigmoid turns margins into scores.
+Features are indicators of n-grams: of one and two words (case-folded), and of one to three words
+reduced to their shape (letter case, digits, symbols, last character, and whether a word repeats
+one shortly before); each n-gram of shapes has further indicators for being frequent in the text.
+Indicators are scaled by the classes' log-count ratio and by one over the root of their number in
+the text, then a linear hinge-loss model is fitted by dual coordinate descent and interpolated
+with the mean size of the weights in use; a sigmoid turns margins into scores. Texts are scored
+with the scaling and the bias that were fitted; n-grams that weren't seen in training weigh nothing.
 
 Labels are learned from at most ``MAX_TRAIN`` labelled documents, chosen by a hash of the id
 among those whose crc32 modulo 4 is not 2. Of several rows with such an id, one is learned from
 (least in the bytes of its features), so that what reaches the driver stays bounded.
 
 Defined results: a null or empty text is scored by the bias alone; several labels of a document
-count as the highest; texts that differ only in words of equal shape score alike; null labels are ignored; with labels of one class only, or none, every
+count as the highest; null labels are ignored; with labels of one class only, or none, every
 score is the smoothed share of label 1; repeated rows score alike. Only the id and text columns
 are read.
 """
@@ -32,10 +34,14 @@ from tessella.llm.tokens import mix, text_pieces, words
 
 #: Bound on the labelled documents that a model is fitted on.
 MAX_TRAIN = 6000
-SIZE = 1 << 16
+#: Slots of hashed n-grams of shapes and of words.
+SHAPES, WORDS = 1 << 16, 1 << 17
+SIZE = SHAPES + WORDS
 THRESHOLD = 0.7
 #: Share of the fitted weights; the rest is their mean size (as in the published method).
 BETA = 0.25
+#: Bound on a balanced example's dual variable.
+COST = 0.1
 
 _CLASS = np.zeros(256, np.uint8)  # bits: lower 1, upper 2, digit 4, common mark 8, other symbol 16
 _CLASS[97:123] = _CLASS[128:256] = 1
@@ -88,8 +94,11 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         often = unique[counts >= least]
         sets.append((often & ~np.uint64(0xFFFFFFFF)) | (mix((often & np.uint64(0xFFFFFFFF)) + np.uint64((k + 1) << 40)) & np.uint64(0xFFFFFFFF)))
     every = np.concatenate(sets)
-    doc, gram = (every >> np.uint64(32)).astype(np.int64), (every & np.uint64(SIZE - 1)).astype(np.int64)
-    pair = np.unique(doc * SIZE + gram)
+    doc, gram = (every >> np.uint64(32)).astype(np.int64), (every & np.uint64(SHAPES - 1)).astype(np.int64)
+    together = found.doc[1:] == found.doc[:-1]
+    two = mix(found.hash[:-1] * np.uint64(1_000_003) + found.hash[1:])[together]
+    word = SHAPES + (np.concatenate([found.hash, two]) % np.uint64(WORDS)).astype(np.int64)
+    pair = np.unique(np.concatenate([doc * SIZE + gram, np.concatenate([found.doc, found.doc[1:][together]]) * SIZE + word]))
     return pair // SIZE, pair % SIZE
 
 
@@ -102,28 +111,31 @@ class Model:
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         doc, gram = features(raw, offsets)
-        margins = np.bincount(doc, weights=self.weights[gram], minlength=len(offsets) - 1) + self.bias
+        n = len(offsets) - 1
+        total = np.bincount(doc, weights=self.weights[gram], minlength=n)
+        margins = total / np.sqrt(np.maximum(1, np.bincount(doc, minlength=n))) + self.bias
         return sigmoid(self.slope * margins + self.offset)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, beta: float = BETA, tolerance: float = 1e-3, epochs: int = 40) -> Model:
     """Fit the indicator sets ``rows`` with 0/1 ``labels``."""
     n1, n = int(labels.sum()), len(labels)
     if n1 == 0 or n1 == n:
         share = (n1 + 1) / (n + 2)
-        return Model(np.zeros(SIZE, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
-    counts = [np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == k]), minlength=SIZE) + 1.0 for k in (0, 1)]
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+        return Model(np.zeros(SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
+    held = [np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == k]), minlength=SIZE) for k in (0, 1)]
+    seen = held[0] + held[1] > 0
+    negative, positive = ((h + 1.0) / (h[seen] + 1.0).sum() for h in held)
+    ratio = np.where(seen, np.log(positive / negative), 0.0)
     signs = np.where(labels == 1, 1.0, -1.0)
-    cost = np.where(labels == 1, n / (2 * n1), n / (2 * (n - n1))) * 0.1
+    cost = np.where(labels == 1, n / (2 * n1), n / (2 * (n - n1))) * COST
     scales = [1 / np.sqrt(max(1, len(r))) for r in rows]
-    fitted = fit_hinge(rows, [ratio[r] * s for r, s in zip(rows, scales, strict=True)], signs, SIZE, cost)
-    weights = fitted[:-1]
-    blend = BETA * weights + (1 - BETA) * np.abs(weights).mean()
-    weights = blend * ratio
-    margins = np.array([weights[r].sum() for r in rows]) + fitted[-1]
+    fitted = fit_hinge(rows, [ratio[r] * s for r, s in zip(rows, scales, strict=True)], signs, SIZE, cost, epochs=epochs, tolerance=tolerance)
+    weights, bias = fitted[:-1], float(fitted[-1])
+    weights = (beta * weights + (1 - beta) * np.abs(weights[seen]).mean()) * ratio
+    margins = np.array([weights[r].sum() * s for r, s in zip(rows, scales, strict=True)]) + bias
     slope, offset = fit_sigmoid(margins, labels)
-    return Model(weights.astype(np.float32), float(fitted[-1]), slope, offset)
+    return Model(weights, bias, slope, offset)
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
