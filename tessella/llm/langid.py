@@ -11,8 +11,10 @@ Rows that repeat both count once, in the bounds of the draw too, so what reaches
 bounded and no language loses texts to its repeated rows.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, or when nothing can
-be learned; with one language to learn from, that one; repeated rows are treated alike. Only the
-id, text and language columns are read, and a prediction uses the text alone.
+be learned; with one language to learn from, that one; repeated rows are treated alike. Texts of
+any length are learned from and predicted whole: that long ones are worked on in parts changes no
+feature and no score. Only the id, text and language columns are read, and a prediction uses the
+text alone.
 """
 
 from __future__ import annotations
@@ -57,8 +59,9 @@ def family_of(language: str) -> str:
     return _FAMILY.get(language, language)
 
 
-def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each n: hashed n-gram at each byte, and whether it lies within its text."""
+def grams(raw: np.ndarray, offsets: np.ndarray, starts: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each n: hashed n-gram at each byte, and whether it lies within its text (and begins
+    among the first ``starts`` bytes)."""
     low = folded(raw)
     low = np.where(_LETTER[low], low, 32).astype(np.uint32)
     ends = np.repeat(offsets[1:], np.diff(offsets))
@@ -68,27 +71,36 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
         whole = max(0, len(low) - n + 1)
         code[:whole] = (code[:whole] << 8) | low[n - 1 :]
         hashed = ((code ^ np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-        found.append((hashed, np.arange(n, len(low) + n) <= ends))
+        inside = np.arange(n, len(low) + n) <= ends
+        if starts is not None:
+            inside[starts:] = False
+        found.append((hashed, inside))
     return found
 
 
 def parts(raw: np.ndarray, offsets: np.ndarray):
-    """(bytes, offsets) to work on at once: all of them, or parts of one long text (the few
-    n-grams across its cuts don't count)."""
+    """(bytes, offsets, bytes where n-grams begin) to work on at once: all of them, or parts of one
+    long text. A part begins with a character and reaches over its end as far as its n-grams do, so
+    each n-gram counts once."""
     if len(offsets) != 2 or len(raw) <= LONG:
-        yield raw, offsets
+        yield raw, offsets, None
         return
-    for first in range(0, len(raw), LONG):
-        part = raw[first : first + LONG]
-        yield part, np.array([0, len(part)])
+    first = 0
+    while first < len(raw):
+        last = min(first + LONG, len(raw))
+        while last < len(raw) and raw[last] & 0xC0 == 0x80:
+            last += 1
+        part = raw[first : last + 3]
+        yield part, np.array([0, len(part)]), last - first
+        first = last
 
 
 def sparse_rows(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Numbers and values of each text's features."""
     n, found = len(offsets) - 1, []
-    for part, own in parts(raw, offsets):
+    for part, own, starts in parts(raw, offsets):
         doc = np.repeat(np.arange(n), np.diff(own))
-        found.append(np.unique(np.concatenate([doc[inside] << BITS | g[inside] for g, inside in grams(part, own)]), return_counts=True))
+        found.append(np.unique(np.concatenate([doc[inside] << BITS | g[inside] for g, inside in grams(part, own, starts)]), return_counts=True))
     unique, at = np.unique(np.concatenate([u for u, _ in found]), return_inverse=True)
     counts = np.bincount(at, weights=np.concatenate([c for _, c in found]), minlength=len(unique))
     values = SCALE * counts / np.maximum(1, np.diff(offsets))[unique >> BITS]
@@ -96,6 +108,10 @@ def sparse_rows(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
     return list(zip(np.split(unique & ((1 << BITS) - 1), cuts), np.split(values, cuts), strict=True))
 
 
+#: Weights are served as whole multiples of 1 / UNIT, so sums don't depend on their order.
+UNIT = 1 << 24
+
+
 @dataclass
 class Machine:
     weights: np.ndarray
@@ -104,15 +120,15 @@ class Machine:
     offset: float
 
     def sums(self, hashed, offsets: np.ndarray) -> np.ndarray:
-        """Sum of each text's n-gram weights."""
-        total = np.zeros(len(offsets) - 1)
+        """Sum of each text's n-gram weights, in units."""
+        total = np.zeros(len(offsets) - 1, np.int64)
         for g, inside in hashed:
-            running = np.concatenate([[0.0], np.cumsum(self.weights[g] * inside, dtype=np.float64)])
+            running = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.weights[g] * inside)])
             total += running[offsets[1:]] - running[offsets[:-1]]
         return total
 
     def probability(self, total: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        margins = SCALE * total / np.maximum(1, np.diff(offsets)) + self.bias
+        margins = SCALE * (total / UNIT) / np.maximum(1, np.diff(offsets)) + self.bias
         return sigmoid(self.slope * margins + self.offset)
 
 
@@ -122,7 +138,7 @@ def fit_machine(rows: list, positive: np.ndarray) -> Machine:
     fitted = fit_hinge([r[0] for r in rows], [r[1] for r in rows], np.where(positive, 1.0, -1.0), 1 << BITS, cost, epochs=20)
     margins = np.array([fitted[:-1][r] @ v for r, v in rows]) + fitted[-1]
     slope, offset = fit_sigmoid(margins, positive.astype(np.int64))
-    return Machine(fitted[:-1].astype(np.float32), float(fitted[-1]), slope, offset)
+    return Machine(np.rint(fitted[:-1] * UNIT).astype(np.int64), float(fitted[-1]), slope, offset)
 
 
 @dataclass
@@ -135,9 +151,9 @@ class Model:
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language of each text, and score."""
         n, machines = len(offsets) - 1, {**self.of_family, **self.of_pair}
-        total = {key: np.zeros(n) for key in machines}
-        for part, own in parts(raw, offsets):
-            hashed = grams(part, own)
+        total = {key: np.zeros(n, np.int64) for key in machines}
+        for part, own, starts in parts(raw, offsets):
+            hashed = grams(part, own, starts)
             for key, machine in machines.items():
                 total[key] += machine.sums(hashed, own)
         families = np.ones((n, len(self.families)))

@@ -220,20 +220,70 @@ def test_language_of_very_short_texts(text, monkeypatch):
 
 
 def test_long_texts_in_parts(monkeypatch):
-    """Cutting a long text changes neither its words nor (but for n-grams at cuts) its features."""
+    """Cutting a long text changes neither its words, nor its features, nor its language and score."""
     from tessella.llm import tokens
 
     rng = np.random.default_rng(9)
-    text = " ".join("".join(rng.choice(list("abcdé.,!"), rng.integers(1, 12))) for _ in range(3000))
+    text = " ".join("".join(rng.choice(list("abcdÉ漢。—.,!"), rng.integers(1, 12))) for _ in range(3000))
     raw = np.frombuffer(text.encode(), np.uint8)
     offsets = np.array([0, len(raw)])
     whole = [tokens.words(raw, offsets, p) for p in (True, False)]
-    features = dict(zip(*langid.sparse_rows(raw, offsets)[0], strict=True))
-    monkeypatch.setattr(tokens, "LONG", 501)
-    monkeypatch.setattr(langid, "LONG", 501)
-    for punctuation, found in zip((True, False), whole, strict=True):
-        cut = tokens.words(raw, offsets, punctuation)
-        assert (cut.start == found.start).all() and (cut.end == found.end).all() and (cut.hash == found.hash).all()
-    parts = dict(zip(*langid.sparse_rows(raw, offsets)[0], strict=True))
-    off = sum(abs(features.get(k, 0) - parts.get(k, 0)) for k in {*features, *parts})
-    assert off <= 0.02 * sum(features.values())
+    features = langid.sparse_rows(raw, offsets)[0]
+    examples = [langid.sparse_rows(raw[k : k + 300], np.array([0, 300]))[0] for k in range(0, 3000, 300)]
+    model = langid.fit(examples, ["de", "en", "fr", "es", "de", "en", "fr", "es", "de", "en"])
+    predicted = model.predict(raw, offsets)
+    for length in (7, 64, 501, 502, 503, 504):
+        monkeypatch.setattr(tokens, "LONG", length)
+        monkeypatch.setattr(langid, "LONG", length)
+        for punctuation, found in zip((True, False), whole, strict=True):
+            cut = tokens.words(raw, offsets, punctuation)
+            assert (cut.start == found.start).all() and (cut.end == found.end).all() and (cut.hash == found.hash).all()
+        for wanted, found in zip(features, langid.sparse_rows(raw, offsets)[0], strict=True):
+            assert (wanted == found).all()
+        for wanted, found in zip(predicted, model.predict(raw, offsets), strict=True):
+            assert (wanted == found).all()
+
+
+def slow_language(model, text):
+    """Family, then pairs, of one text: n-gram by n-gram."""
+    raw = bytearray(text.encode())
+    for k, b in enumerate(raw):
+        if 65 <= b <= 90:
+            raw[k] = b + 32
+        elif k and raw[k - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97:
+            raw[k] = b | 0x20
+    raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in raw)
+
+    def probability(machine):
+        total = 0
+        for n in (2, 3, 4):
+            for k in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[k : k + n], "big") ^ n
+                total += int(machine.weights[(code * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - langid.BITS])
+        margin = langid.SCALE * total / langid.UNIT / max(1, len(raw)) + machine.bias
+        return 1 / (1 + np.exp(-(machine.slope * margin + machine.offset)))
+
+    share = {f: probability(m) for f, m in model.of_family.items()}
+    if len(model.families) == 2 and share:
+        share[model.families[1]] = 1 - share[model.families[0]]
+    share = {f: share.get(f, 1.0) for f in model.families}
+    family = max(model.families, key=share.get)
+    members = [x for x in model.languages if langid.family_of(x) == family]
+    votes = dict.fromkeys(members, 1.0 if len(members) == 1 else 0.0)
+    for (a, b), machine in model.of_pair.items():
+        if a in members:
+            p = probability(machine)
+            votes[a] += p / (len(members) - 1)
+            votes[b] += (1 - p) / (len(members) - 1)
+    best = max(members, key=votes.get)
+    return best, share[family] / sum(share.values()) * votes[best]
+
+
+def test_languages_are_those_of_the_slow_model(edge_docs, edge_rows):
+    model = langid.train(edge_docs)
+    assert len(model.families) > 1 and len(model.of_pair) >= 2
+    for text in [t for _, t, _, _ in edge_rows if t and len(t) < 2000][:60]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        index, score = model.predict(raw, np.array([0, len(raw)]))
+        language, wanted = slow_language(model, text)
+        assert model.languages[index[0]] == language and abs(score[0] - wanted) < 1e-9
