@@ -4,10 +4,15 @@ A record (JSON text) is reduced to the sorted set of its nested field paths; the
 set selects a declarative mapping, which turns the record's layout into canonical turns. A
 template then marks each turn and escapes control strings inside the texts reversibly.
 
-Defined results: a record that is null, is no JSON object or has an unknown layout gives no
-turns and a fingerprint of its own (null for null); null or missing texts and roles are empty;
-equal rows are all kept; turns with the same position are ordered by role, then text; a null
-conversation id is one conversation. Extra columns are ignored, whatever their names.
+A record whose fingerprint no mapping has keeps its text too: it takes the mapping with the most
+paths among those whose paths it has all (``nearest``; its other paths are named in ``unmapped``),
+or else gives a turn for each of its leaves, with the leaf's path as the role (``leaves``); what is
+no JSON becomes one turn ``text`` (``raw``).
+
+Defined results: a null record gives no turns and a null fingerprint; null or missing texts and
+roles are empty; equal rows are all kept; turns with the same position are ordered by role, then
+text, and turns without a position come last; a null conversation id is one conversation. Extra
+columns are ignored, whatever their names; very long texts are formatted whole.
 """
 
 from __future__ import annotations
@@ -120,24 +125,47 @@ def by_fingerprint(mappings: Iterable[Mapping] = MAPPINGS) -> dict[str, Mapping]
     return {fingerprint(m.paths): m for m in mappings}
 
 
-def canonical_turns(record: str | None, known: dict[str, Mapping]) -> tuple[str | None, list[tuple[str, str]]]:
-    """The fingerprint of a JSON record and its turns (none for an unknown layout)."""
+def leaves(value: object, at: str = "") -> Iterator[tuple[str, str]]:
+    """Path and text of each leaf that isn't null, in the record's order."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from leaves(v, f"{at}.{k}" if at else k)
+    elif isinstance(value, list):
+        for v in value:
+            yield from leaves(v, f"{at}[]")
+    elif value is not None:
+        yield at or "text", value if isinstance(value, str) else json.dumps(value)
+
+
+@dataclass(frozen=True)
+class Canonical:
+    """A record's fingerprint, how its layout was found, its turns, and the paths they leave out."""
+
+    mark: str | None
+    layout: str | None
+    turns: list[tuple[str, str]]
+    unmapped: tuple[str, ...] = ()
+
+
+def canonical(record: str | None, known: dict[str, Mapping]) -> Canonical:
     if record is None:
-        return None, []
+        return Canonical(None, None, [])
     try:
         value = json.loads(record)
-    except ValueError:
-        value = None
-    if not isinstance(value, dict):
-        return fingerprint(["(no object)"]), []
-    mark = fingerprint(field_paths(value))
-    mapping = known.get(mark)
+    except (ValueError, RecursionError):
+        return Canonical(fingerprint(["(no JSON)"]), "raw", [("text", record)])
+    paths = field_paths(value)
+    mark = fingerprint(paths)
+    mapping, layout = known.get(mark), "declared"
     if mapping is None:
-        return mark, []
+        fitting = [m for m in known.values() if isinstance(value, dict) and paths.issuperset(m.paths)]
+        if not fitting:
+            return Canonical(mark, "leaves", list(leaves(value)))
+        mapping, layout = max(fitting, key=lambda m: len(m.paths)), "nearest"
     turns = mapping.apply(value)
-    if mapping.each and (system := _at(value, "system")):
+    if mapping.each and "system" in mapping.paths and (system := _at(value, "system")):
         turns.insert(0, ("system", system))
-    return mark, turns
+    return Canonical(mark, layout, turns, tuple(sorted(paths.difference(mapping.paths))))
 
 
 def format_turn(role: str, text: str) -> str:
@@ -158,32 +186,51 @@ def parse_formatted(formatted: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
+def _canonical_batches(keys: int, mappings: tuple[Mapping, ...], batches) -> Iterator[tuple[pa.RecordBatch, list[Canonical]]]:
+    known = by_fingerprint(mappings)
+    for batch in batches:
+        yield batch, [canonical(value, known) for value in batch.column(keys).to_pylist()]
+
 
 def format_records(records: DataFrame, record: str, keys: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """The ``keys`` columns of each row, its ``fingerprint``, ``n_turns`` and the ``formatted`` turns.
+    """The ``keys`` columns of each row, its ``fingerprint``, ``layout`` (declared, nearest, leaves
+    or raw), the paths left ``unmapped``, ``n_turns`` and the ``formatted`` turns.
 
-    ``record`` holds JSON text of any layout among ``mappings``.
+    ``record`` holds JSON text of any layout.
     """
     bounded_batches(records.sparkSession)
     source = records.select(*[F.col(k) for k in keys], F.col(record).alias("__record"))
-    kept = source.schema.fields[:-1]
+    schema = T.StructType(list(source.schema.fields[:-1])).add("fingerprint", "string").add("layout", "string")
+    schema = schema.add("unmapped", T.ArrayType(T.StringType())).add("n_turns", "integer").add("formatted", "string")
 
     def run(batches):
-        known = by_fingerprint(mappings)
-        for batch in batches:
-            marks, counts, texts = [], [], []
-            for value in batch.column(len(kept)).to_pylist():
-                mark, turns = canonical_turns(value, known)
-                marks.append(mark)
-                counts.append(len(turns))
-                texts.append("".join(format_turn(r, t) for r, t in turns))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.array(marks, pa.string()), pa.array(counts, pa.int32()), pa.array(texts, pa.string())],
-                names=[*keys, "fingerprint", "n_turns", "formatted"],
-            )
+        for batch, found in _canonical_batches(len(keys), mappings, batches):
+            marks, layouts = ([getattr(c, name) for c in found] for name in ("mark", "layout"))
+            texts = ["".join(format_turn(r, t) for r, t in c.turns) for c in found]
+            columns = [pa.array(marks, pa.string()), pa.array(layouts, pa.string()), pa.array([list(c.unmapped) for c in found], pa.list_(pa.string()))]
+            columns += [pa.array([len(c.turns) for c in found], pa.int32()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], names=schema.names)
 
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept])
-    return source.mapInArrow(run, schema.add("fingerprint", "string").add("n_turns", "integer").add("formatted", "string"))
+    return source.mapInArrow(run, schema)
+
+
+def canonical_turns(records: DataFrame, record: str, keys: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """A row for each turn of each record: the ``keys`` columns, ``fingerprint``, ``position`` in
+    the record, ``role`` and ``text``."""
+    bounded_batches(records.sparkSession)
+    source = records.select(*[F.col(k) for k in keys], F.col(record).alias("__record"))
+    schema = T.StructType(list(source.schema.fields[:-1])).add("fingerprint", "string").add("position", "integer").add("role", "string").add("text", "string")
+
+    def run(batches):
+        for batch, found in _canonical_batches(len(keys), mappings, batches):
+            rows = [(k, c.mark, at, role, text) for k, c in enumerate(found) for at, (role, text) in enumerate(c.turns)]
+            if rows:
+                of, *columns = zip(*rows, strict=True)
+                kept = [c.take(pa.array(of, pa.int64())) for c in batch.columns[: len(keys)]]
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -210,8 +257,9 @@ class _Conversation:
         return self.key, self.turns, self.all_hash.hexdigest(), self.loss, self.loss_hash.hexdigest(), self.chars
 
 
-def digest_conversations(formatted: DataFrame) -> DataFrame:
-    """Read formatted turns (conv_id, order columns, formatted; sorted within partitions) back."""
+def digest_conversations(turns: DataFrame) -> DataFrame:
+    """Format the turns (conv_id, role, text; conversations together and in order within
+    partitions) and read them back."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         now, done = None, []
@@ -222,12 +270,12 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[p.split()[0] for p in DIGEST.split(", ")])
 
         for batch in batches:
-            for key, text in zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), strict=True):
+            for key, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now.key != key:
                     if now is not None:
                         done.append(now.row())
                     now = _Conversation(key)
-                now.add(text)
+                now.add(format_turn(role, text))
             if len(done) >= 4096:
                 yield flush(done)
                 done = []
@@ -236,27 +284,34 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
         if done:
             yield flush(done)
 
-    return formatted.select("conv_id", "formatted").mapInArrow(run, DIGEST)
+    return turns.select("conv_id", "role", "text").mapInArrow(run, DIGEST)
+
+
+def in_layouts(rows: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) as JSON records of four layouts, by a hash of the turn's place."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    speaker = F.when(role == "user", F.lit("human")).when(role == "assistant", F.lit("gpt"))
+    plain = F.struct(role.alias("role"), text.alias("text"))
+    content = F.struct(role.alias("role"), text.alias("content"))
+    messages = F.struct(F.array(content).alias("messages"))
+    shared = F.struct(F.array(F.struct(speaker.alias("from"), text.alias("value"))).alias("conversations"))
+    layout = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    record = F.when(layout == 0, F.to_json(plain)).when(layout == 1, F.to_json(content)).when((layout == 2) | speaker.isNull(), F.to_json(messages)).otherwise(F.to_json(shared))
+    return rows.select("conv_id", "turn", record.alias("record"))
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back (one row each).
 
-    Turns are formatted where they lie; only then are the formatted turns brought together by
-    conversation and sorted (spilling), so no task holds a conversation in memory.
+    The rows come as records of four layouts, which their fingerprints turn into canonical turns
+    where they lie; only then are turns brought together by conversation and sorted (spilling), so
+    no task holds a conversation in memory.
     """
-
-
     probe = "</s>[INST] ok [/INST]"
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
-    records = rows.unionByName(extra).select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").alias("turn"),
-        F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("record"),
-    )
-    formatted = format_records(records, "record", ["conv_id", "turn"])
-    ordered = formatted.repartition(reducers(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    turns = canonical_turns(in_layouts(rows.unionByName(extra)), "record", ["conv_id", "turn"])
+    ordered = turns.repartition(reducers(spark), "conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text")
     return digest_conversations(ordered)
 
 

@@ -167,19 +167,34 @@ def test_chat_round_trip(turns):
         ({"system": "", "prompt": "q", "response": "a"}, [("user", "q"), ("assistant", "a")]),
         ({"question": {"text": "q"}, "answer": {"text": "a"}}, [("user", "q"), ("assistant", "a")]),
         ({"text": "t", "role": None}, [("", "t")]),
-        ({"unknown": 1}, []),
+        ({"unknown": 1}, [("unknown", "1")]),
+        ({"messages": [{"role": "user", "content": "q", "name": "bob"}, {"role": "assistant", "content": "a"}]}, [("user", "q"), ("assistant", "a")]),
+        ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "tool_calls": [{"id": 1}]}], "system": "s"}, [("user", "q"), ("assistant", "a")]),
+        ({"id": "7", "system": "s", "conversations": [{"from": "human", "value": "q"}]}, [("system", "s"), ("user", "q")]),
+        ({"a": {"b": ["x", None, {"c": "y"}]}, "d": True}, [("a.b[]", "x"), ("a.b[].c", "y"), ("d", "true")]),
     ],
 )
 def test_layouts(record, turns):
-    assert chat.canonical_turns(json.dumps(record), chat.by_fingerprint())[1] == turns
+    assert chat.canonical(json.dumps(record), chat.by_fingerprint()).turns == turns
+
+
+def test_unknown_layouts_say_what_they_leave_out(spark):
+    records = ['{"messages": [{"role": "user", "content": "q", "name": "bob"}]}', '{"prompt": "q", "response": "a"}', "{broken", '"only text"', None]
+    table = spark.createDataFrame([(k, r, "x") for k, r in enumerate(records)], "id int, doc string, formatted string")
+    found = {r.id: (r.layout, r.unmapped, r.n_turns, r.formatted) for r in chat.format_records(table, "doc", ["id"]).collect()}
+    assert found[0] == ("nearest", ["messages[].name"], 1, chat.format_turn("user", "q"))
+    assert found[1] == ("declared", [], 2, chat.format_turn("user", "q") + chat.format_turn("assistant", "a"))
+    assert found[2] == ("raw", [], 1, chat.format_turn("text", "{broken"))
+    assert found[3] == ("leaves", [], 1, chat.format_turn("text", "only text"))
+    assert found[4] == (None, [], 0, "")
 
 
 def test_fingerprints_regard_paths_only():
     a, b = ('{"role": "x", "text": "y"}', '{"text": "other", "role": "z"}')
     known = chat.by_fingerprint()
-    assert chat.canonical_turns(a, known)[0] == chat.canonical_turns(b, known)[0]
-    assert chat.canonical_turns(None, known) == (None, [])
-    assert chat.canonical_turns("[1]", known)[1] == chat.canonical_turns("{broken", known)[1] == []
+    assert chat.canonical(a, known).mark == chat.canonical(b, known).mark
+    assert chat.canonical(None, known) == chat.Canonical(None, None, [])
+    assert chat.canonical("[1]", known).turns == [("[]", "1")]
 
 
 def test_chat_query_with_edges(spark, tmp_path):
@@ -195,6 +210,21 @@ def test_chat_query_with_edges(spark, tmp_path):
     assert [r.conv_id for r in chat.op10_chat_format(spark, str(tmp_path / "none")).collect()] == [-1]
 
 
+def test_chat_query_matches_its_oracle(spark, tmp_path):
+    """Ties (also of texts whose escaped forms sort otherwise), nulls, odd roles, further columns."""
+    import duckdb
+
+    rows = [(1, 0, "assistant", "</s>"), (1, 0, "assistant", "<0"), (1, 0, "assistant", "</s>"), (1, None, "user", "late"), (1, 1, "human", "[INST]"), (1, 1, "gpt", "a\\</s>")]
+    rows += [(2, k % 3, role, text) for k, role in enumerate(["user", "system", None, "assistant", "user", "\n"]) for text in ("b", None, "<|im_end|>", "<\\|im_end|>")]
+    rows += [(None, 0, "user", "n"), (None, 0, "assistant", "m")]
+    spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, record string, position int").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    wanted = db.sql(chat.ORACLE_OP10.replace("length(role)", "length(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'))"))
+    found = chat.op10_chat_format(spark, str(tmp_path)).select(*wanted.columns).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(wanted.fetchall(), key=str)
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_archives_are_zip_files(zip64, tmp_path):
     import zipfile
