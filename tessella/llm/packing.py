@@ -6,8 +6,11 @@ of at most ``capacity`` numbers, whatever the corpus size: pieces above a third
 are matched greedily (the longest with the longest that fits it, at most two a bin), then
 smaller lengths, in falling order, go best-fit into the remaining gaps. The plan treats runs of
 equal bins at once; its size depends on the capacity alone, so it may be broadcast. A piece's
-rank among those of its length picks its bin; ranks come from counts per partition and prefix
-sums, so no length, however frequent, meets in one task.
+rank among those of its length picks its bin; ranks come from one array of counts a partition,
+summed up within groups of ``GROUP`` partitions in parallel and over the groups on the driver
+(``capacity`` numbers a group), so no length, however frequent, meets in one task. Pieces meet
+their partition's sums in a shuffled join of narrow rows; nothing that grows is broadcast but the
+groups' sums, 8 * ``capacity`` bytes for each ``GROUP`` partitions.
 
 Defined results: a null or empty text is one piece that holds the end id alone; repeated rows
 and null ids are packed like any others; an empty table gives no pieces. Only the id and text
@@ -23,12 +26,12 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tessella.llm.common import bounded_batches, stored, table
 
@@ -40,6 +43,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Finds a character outside those whose classes all Unicode versions agree on; such texts go to the tokenizers library.
 UNSETTLED = re.compile(r"[^\t-\r\x20-ɏͰ-ϿЀ-ӿ‐-‧‰-›€]")
 _SPLIT_AT = 1 << 20
+#: Partitions whose counts are summed up together.
+GROUP = 512
 
 
 def byte_symbols() -> dict[str, int]:
@@ -91,7 +96,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(documents: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer: str | None, with_ids: bool) -> DataFrame:
-    """Pieces with the partition they came from and their rank there among pieces of their length."""
+    """Pieces with the partition they came from and their rank there among pieces of their length;
+    and one further row a partition, with ``counts`` of its pieces by length (null in the others)."""
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType(
         [
@@ -103,13 +109,15 @@ def pieces(documents: DataFrame, id_col: str, text_col: str, capacity: int, toke
             T.StructField("length", T.LongType()),
             T.StructField("ids_crc32", T.LongType()),
             *([T.StructField("ids", T.BinaryType())] if with_ids else []),
+            T.StructField("counts", T.ArrayType(T.LongType())),
         ]
     )
 
     def run(batches):
         encode, pid = encoder(tokenizer).ids, TaskContext.get().partitionId()
-        counts = np.zeros(capacity + 1, np.int64)
+        counts, kind = np.zeros(capacity + 1, np.int64), None
         for batch in batches:
+            kind = batch.schema.field(0).type
             owner, rows = [], []
             for k, text in enumerate(batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
@@ -122,11 +130,35 @@ def pieces(documents: DataFrame, id_col: str, text_col: str, capacity: int, toke
                 continue
             pid_, local, number, start, length, crc, raw = zip(*rows, strict=True)
             columns = [pa.array(pid_, pa.int32()), pa.array(local, pa.int64()), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(raw, pa.binary())] if with_ids else []), names=schema.names)
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(raw, pa.binary())] if with_ids else []) + [pa.nulls(len(rows), pa.list_(pa.int64()))], names=schema.names)
+        if counts.any():
+            empty = [pa.nulls(1, t) for t in (pa.int64(), kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else []))]
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), *empty, pa.array([counts.tolist()], pa.list_(pa.int64()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def prefix_sums(counts: DataFrame, capacity: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(pid, before) with the pieces of each length in partitions before it in its group; what
+    stands before each group; and the whole histogram."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pid")
+        each = np.array(rows.counts.tolist(), np.int64).reshape(-1, capacity + 1)
+        upto = each.cumsum(axis=0)
+        found = pd.DataFrame({"pid": rows.pid.to_numpy(), "before": list(upto - each)})
+        return pd.concat([found, pd.DataFrame({"pid": [-1 - int(rows.pid.iloc[0]) // GROUP], "before": [upto[-1]]})])
+
+    grouped = counts.withColumn("group", F.floor(F.col("pid") / GROUP)).groupBy("group").applyInPandas(run, "pid int, before array<long>")
+    sums = stored(grouped, "sums")
+    totals = {-1 - r.pid: r.before for r in sums.filter("pid < 0").collect()}  # a row for each GROUP partitions
+    groups = np.zeros((max(totals, default=-1) + 2, capacity + 1), np.int64)
+    for group, total in totals.items():
+        groups[group + 1] = total
+    upto = groups.cumsum(axis=0)
+    return sums.filter("pid >= 0"), upto[:-1], upto[-1]
+
+
 @dataclass
 class Plan:
     """For runs of pieces of one length, from rank ``first`` on: the bin of the first, and the offset there."""
@@ -202,22 +234,21 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     little-endian 32-bit, if asked for). ``tokenizer`` is a vocabulary file on the executors."""
     bounded_batches(documents.sparkSession)
     cuts = stored(pieces(documents, id_col, text_col, capacity, tokenizer, with_ids), "pieces")
-    counts = cuts.groupBy("length", "pid").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
-    histogram = {r.length: r.n for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = documents.sparkSession.sparkContext.broadcast(make_plan(histogram, capacity))
-    ranked = cuts.join(offsets.select("length", "pid", "before"), ["length", "pid"]).select(
-        "id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local")).alias("rank"), *(["ids"] if with_ids else [])
+    sums, groups, whole = prefix_sums(cuts.filter("counts IS NOT NULL").select("pid", "counts"), capacity)
+    histogram = {length: int(n) for length, n in enumerate(whole) if n}
+    context = documents.sparkSession.sparkContext
+    plan, before = context.broadcast(make_plan(histogram, capacity)), context.broadcast(groups)
+    ranked = cuts.filter("piece IS NOT NULL").drop("counts").join(sums.hint("merge"), "pid").select(
+        "id", "piece", "start", "length", "ids_crc32", "pid", (F.get("before", F.col("length").cast("int")) + F.col("local")).alias("rank"), *(["ids"] if with_ids else [])
     )
-    schema = T.StructType([f for f in ranked.schema if f.name not in {"rank", "ids"}]).add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([f for f in ranked.schema if f.name not in {"rank", "pid", "ids"}]).add("sequence_id", "long").add("offset", "long")
     if with_ids:
         schema = schema.add("ids", "binary")
 
     def run(batches):
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            sequence, offset = plan.value.place(length, rank)
+            length, rank, pid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank", "pid"))
+            sequence, offset = plan.value.place(length, before.value[pid // GROUP, length] + rank)
             columns = [batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset), *([batch.column("ids")] if with_ids else [])], names=schema.names)
 

@@ -92,6 +92,33 @@ def test_packing_rows(edge_docs, edge_rows, no_docs, byte_level):
         assert zlib.crc32(r.ids) == r.ids_crc32
 
 
+def test_ids_are_the_library_s_on_all_rows(byte_level, sf_dir):
+    """Every text of the larger test table, and texts around the length from which the library itself encodes."""
+    import pyarrow.parquet as pq
+
+    ours = packing.encoder(None)
+    texts = [t or "" for t in pq.read_table(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for table, column in (("pages", "html"), ("benchmark", "text"), ("conversations", "text")):
+        texts += [t or "" for t in pq.read_table(f"{sf_dir}/{table}.parquet", columns=[column]).column(0).to_pylist()]
+    rng = random.Random(6)
+    long = " ".join(rng.choice(texts)[:400] for _ in range(3200))
+    assert len(long) > packing._SPLIT_AT + 2
+    texts += [long[: packing._SPLIT_AT + d] for d in (-1, 0, 1)]
+    for text, wanted in zip(texts, byte_level.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ours.ids(text).tolist() == wanted.ids
+
+
+def test_ranks_over_groups_of_partitions(spark, monkeypatch):
+    """More partitions than a group holds, empty ones among them."""
+    monkeypatch.setattr(packing, "GROUP", 3)
+    rows = [(k, "word " * (k % 7)) for k in range(200)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(11).union(spark.createDataFrame([], "doc_id long, text string").repartition(3))
+    found = packing.pack(docs, capacity=16).collect()
+    check_sequences(found, 16)
+    assert Counter(r.doc_id for r in found if r.piece == 0) == Counter(k for k, _ in rows)
+    assert len({(r.sequence_id, r.offset) for r in found}) == len(found)
+
+
 def fewest_bins(sizes, capacity):
     """The least number of bins, by trying every placement (for a few items)."""
     best = len(sizes)
