@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def remember(path: str) -> str:
+    """A path that ``release`` deletes with the stored tables."""
+    _written.append(path)
+    return path
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that ``stored`` wrote in this process, once no result needs them; how many."""
     n = sum(Store(spark).delete(path) for path in _written)
