@@ -1,13 +1,17 @@
 """WARC: ZIP-packaged archive reader.
 
 The reader parses the end record, the ZIP64 locator and the central directory of an archive,
-locates its stored members (the WARC file and its CDXJ index) and range-reads single records;
-nothing is extracted. It works on any ``read_at(offset, length)``: a file, or an archive held as
-a binary value (as Spark's ``binaryFile`` source gives it).
+locates its stored members (the WARC file and its CDXJ index, sorted by URL key) and range-reads
+single records; nothing is extracted. It works on any ``read_at(offset, length)``. Archives are
+files in the shared folder, or in any store that ``pyarrow.fs`` opens; tasks write and range-read
+them there. A task's files carry its attempt's number, and only those of the attempt that
+succeeded are listed, so a lost executor leaves at most files that nothing refers to.
 
 Defined results: a null payload is empty; payloads under ``MIN_SHARED`` bytes are never shared;
 rows that repeat the smallest id of a payload are all responses; null ids are written as ``-``
-and never chosen while another id has the payload; an empty table gives no archive.
+and never chosen while another id has the payload; a null or empty address has the key ``-``; an
+empty table gives no archive; a payload beyond ``archive_bytes`` has an archive of its own. Only
+page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -16,17 +20,21 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from itertools import islice
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, broadcast_if_small, stored, table
+from tessella.llm.common import bounded_batches, broadcast_if_small, shared_dir, stored, table
+from tessella.storage import remember
 
 # Signatures and sizes of the ZIP format (APPNOTE 6.3).
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -34,6 +42,8 @@ NO32, NO16 = 0xFFFFFFFF, 0xFFFF
 
 MIN_SHARED = 100
 ARCHIVE_BYTES = 4 << 20
+#: Bytes fetched at once: of the index, and of neighbouring records.
+INDEX_CHUNK, WINDOW = 1 << 20, 256 << 10
 WARC_NAME, INDEX_NAME = "archive/data.warc", "indexes/index.cdxj"
 ReadAt = Callable[[int, int], bytes]
 
@@ -137,20 +147,109 @@ def member_start(read_at: ReadAt, member: Member) -> int:
     return member.header_at + 30 + name_n + extra_n
 
 
+def windowed(read_at: ReadAt, size: int = WINDOW) -> ReadAt:
+    """The same bytes, fetched ``size`` at a time and held, so that neighbours cost one request."""
+    held = [0, b""]
+
+    def read(at: int, n: int) -> bytes:
+        first, data = held
+        if not first <= at <= at + n <= first + len(data):
+            held[:] = first, data = at, read_at(at, max(n, size))
+        return data[at - first : at - first + n]
+
+    return read
+
+
+def index_lines(read_at: ReadAt, index: Member, first: int = 0) -> Iterator[str]:
+    """The lines of the index from the byte ``first`` (the start of a line) on, chunk by chunk."""
+    start, rest = member_start(read_at, index), b""
+    for at in range(first, index.size, INDEX_CHUNK):
+        *lines, rest = (rest + read_at(start + at, min(INDEX_CHUNK, index.size - at))).split(b"\n")
+        for line in lines:
+            yield line.decode()
+    if rest:
+        yield rest.decode()
+
+
+def url_key(url: str | None) -> str:
+    """The sortable form of an address: the host's parts from the last on, then path and query."""
+    address = quote(url or "", safe=_URL_SAFE)
+    try:
+        parts = urlsplit(address)
+        host = ",".join(reversed((parts.hostname or "").split(".")))
+        port = f":{parts.port}" if parts.port else ""
+    except ValueError:  # no address: kept as it is
+        return address
+    return (f"{host}{port})" if host else "") + parts.path + (f"?{parts.query}" if parts.query else "") or "-"
+
+
+def _record(read_at: ReadAt, at: int, line: str) -> tuple[dict, bytes]:
+    entry = json.loads(line.split(" ", 2)[2])
+    record = read_at(at + int(entry["offset"]), int(entry["length"]))
+    head, _, block = record.partition(b"\r\n\r\n")
+    lines = head.decode().split("\r\n")
+    headers = dict(x.split(": ", 1) for x in lines[1:])
+    if lines[0] != "WARC/1.1" or len(block) != int(headers["Content-Length"]) + 4:
+        raise ValueError("a record's length doesn't match its header")
+    return headers, block[:-4]
+
+
 def read_records(read_at: ReadAt, size: int) -> Iterator[tuple[dict, bytes]]:
-    """Headers and block of each record that the archive's index lists, each read by its range."""
+    """Headers and block of each record that the archive's index lists, each read by its range
+    (those of a chunk of the index in the order they lie in)."""
     members = read_directory(read_at, size)
-    index = members[INDEX_NAME]
+    at, near = member_start(read_at, members[WARC_NAME]), windowed(read_at)
+    some: list[str] = []
+    for line in index_lines(read_at, members[INDEX_NAME]):
+        some.append(line)
+        if len(some) == 4096:
+            yield from (_record(near, at, x) for x in sorted(some, key=_offset))
+            some = []
+    yield from (_record(near, at, x) for x in sorted(some, key=_offset))
+
+
+def _offset(line: str) -> int:
+    return int(json.loads(line.split(" ", 2)[2])["offset"])
+
+
+def find_records(read_at: ReadAt, size: int, url: str | None) -> Iterator[tuple[dict, bytes]]:
+    """The records of an address, found by halving the sorted index; only a few ranges are read."""
+    members = read_directory(read_at, size)
+    index, key = members[INDEX_NAME], url_key(url).encode()
+    start = member_start(read_at, index)
+
+    def line_from(pos: int) -> tuple[int, bytes]:
+        """The first line that begins at ``pos`` or later, and where."""
+        data, n = b"", 512
+        while True:
+            data = read_at(start + max(0, pos - 1), min(n, index.size - max(0, pos - 1)))
+            begin = data.find(b"\n") + 1 if pos else 0
+            end = data.find(b"\n", begin)
+            whole = max(0, pos - 1) + len(data) >= index.size
+            if (begin or not pos) and end >= 0 or whole:
+                break
+            n *= 4
+        if pos and not begin or max(0, pos - 1) + begin >= index.size:
+            return index.size, b""
+        return max(0, pos - 1) + begin, data[begin : end if end >= 0 else len(data)]
+
+    low, high = 0, index.size
+    while low < high:
+        middle = (low + high) // 2
+        where, line = line_from(middle)
+        if where >= index.size or line.split(b" ", 1)[0] >= key:
+            high = middle
+        else:
+            low = where + len(line) + 1
+    where, _ = line_from(low) if low < index.size else (index.size, b"")
     at = member_start(read_at, members[WARC_NAME])
-    for line in read_at(member_start(read_at, index), index.size).decode().splitlines():
-        entry = json.loads(line.split(" ", 2)[2])
-        record = read_at(at + int(entry["offset"]), int(entry["length"]))
-        head, _, block = record.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        if lines[0] != "WARC/1.1" or len(block) != int(headers["Content-Length"]) + 4:
-            raise ValueError("a record's length doesn't match its header")
-        yield headers, block[:-4]
+    for line in index_lines(read_at, index, where) if where < index.size else ():
+        if line.split(" ", 1)[0].encode() != key:
+            return
+        yield _record(read_at, at, line)
+
+
+_URL_SAFE = ":/?#[]@!$&()*+,;=%~"
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -162,7 +261,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{name}>",
-        f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}",
+        f"WARC-Target-URI: {quote(url or '', safe=_URL_SAFE)}",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http;msgtype=response",
@@ -172,21 +271,33 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
-    """Rows (archive, content): ZIP archives of about ``archive_bytes``, one or more a partition.
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it of a folder (a path, or an address that Arrow knows)."""
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
+    """Write ZIP archives of about ``archive_bytes`` into ``folder``, one or more a partition; rows
+    (archive, bytes, records) of their names. Store the rows before they are used.
 
     ``pages`` has page_id, url, payload (binary), digest and refers_to.
     """
     bounded_batches(pages.sparkSession)
 
     def run(batches):
-        pid, number = TaskContext.get().partitionId(), 0
+        context, number = TaskContext.get(), 0
+        store, at = store_of(folder)
         warc, index = bytearray(), []
 
         def close():
             nonlocal number, warc, index
-            content = write_zip([(WARC_NAME, bytes(warc)), (INDEX_NAME, "".join(index).encode())], zip64)
-            row = pa.RecordBatch.from_pydict({"archive": [f"part-{pid:05d}-{number:05d}.wacz"], "content": pa.array([content], pa.binary())})
+            lines = b"".join(line for _, line in sorted(index))
+            content = write_zip([(WARC_NAME, bytes(warc)), (INDEX_NAME, lines)], zip64)
+            name = f"part-{context.partitionId():05d}-{context.taskAttemptId():x}-{number:05d}.wacz"
+            store.create_dir(at, recursive=True)
+            with store.open_output_stream(f"{at}/{name}") as out:
+                out.write(content)
+            row = pa.RecordBatch.from_pydict({"archive": [name], "bytes": pa.array([len(content)], pa.int64()), "records": pa.array([len(index)], pa.int64())})
             number, warc, index = number + 1, bytearray(), []
             return row
 
@@ -195,14 +306,16 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, zip64:
             for k in range(batch.num_rows):
                 page_id, url, payload, digest, first = (c[k].as_py() for c in columns)
                 record = record_bytes(page_id, url, payload, digest, first)
-                index.append(f"{page_id} 20000101000000 " + json.dumps({"offset": str(len(warc)), "length": str(len(record)), "filename": WARC_NAME}) + "\n")
+                entry = {"offset": str(len(warc)), "length": str(len(record)), "filename": WARC_NAME}
+                key = url_key(url).encode()
+                index.append(((key, len(warc)), key + b" 20000101000000 " + json.dumps(entry).encode() + b"\n"))
                 warc += record
                 if len(warc) >= archive_bytes:
                     yield close()
         if index:
             yield close()
 
-    return pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, content binary")
+    return pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, bytes long, records long")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -213,39 +326,50 @@ def _urn(value: str | None) -> int | None:
     return None if name == "-" else int(name)
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """One row per record of archives held in the binary column ``content``."""
+def read_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """One row per record of the archives of ``folder`` that the column ``archive`` names."""
+
+    def rows_of(name: str) -> Iterator[tuple]:
+        store, at = store_of(folder)
+        with store.open_input_file(f"{at}/{name}") as file:
+            for headers, block in read_records(lambda at, n: file.read_at(n, at), file.size()):
+                http, _, payload = block.partition(b"\r\n\r\n")
+                claimed = headers["WARC-Payload-Digest"].removeprefix("sha256:")
+                size = int(http.rpartition(b"Content-Length: ")[2])
+                if headers["WARC-Type"] == "response":
+                    claimed, size = hashlib.sha256(payload).hexdigest(), len(payload)
+                yield _urn(headers["WARC-Record-ID"]), size, claimed, headers["WARC-Type"], _urn(headers.get("WARC-Refers-To"))
 
     def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for headers, block in read_records(*bytes_reader(content.as_buffer())):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    claimed = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                    size = int(http.rpartition(b"Content-Length: ")[2])
-                    if headers["WARC-Type"] == "response":
-                        claimed, size = hashlib.sha256(payload).hexdigest(), len(payload)
-                    rows.append((_urn(headers["WARC-Record-ID"]), size, claimed, headers["WARC-Type"], _urn(headers.get("WARC-Refers-To"))))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[p.split()[0] for p in READ.split(", ")])
+            for name in batch.column(0).to_pylist():
+                found = rows_of(name)
+                while rows := list(islice(found, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[p.split()[0] for p in READ.split(", ")])
 
-    return archives.select("content").mapInArrow(run, READ)
+    return archives.select("archive").mapInArrow(run, READ)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """Pages with payload, digest and ``refers_to``: the smallest id with an equal payload, if it is another."""
+    """Pages with payload, digest and ``refers_to``: the smallest id with an equal payload, if it is
+    another. Pages meet a narrow table of the revisits by their own ids, not by their payloads."""
     raw = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     digested = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", raw.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    firsts = digested.filter(F.length("payload") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    firsts = stored(firsts, "payloads")
-    joined = digested.join(broadcast_if_small(firsts), "digest", "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    narrow = digested.filter(F.length("payload") >= MIN_SHARED).select("page_id", "digest")
+    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    found = narrow.join(firsts, "digest").filter("NOT page_id <=> refers_to").distinct()
+    revisits = stored(found.select(F.col("page_id").alias("revisit"), F.col("digest").alias("same"), "refers_to"), "revisits")
+    own = F.col("page_id").eqNullSafe(F.col("revisit")) & (F.col("digest") == F.col("same"))
+    return digested.join(broadcast_if_small(revisits), own, "left").drop("revisit", "same")
 
 
 def op6_warc_zip(spark, sf_dir: str) -> DataFrame:
-    """All pages written to ZIP-packaged WARC archives, and the records read back."""
-    return read_archives(stored(write_archives(with_revisits(table(spark, sf_dir, "pages"))), "archives"))
+    """All pages written to ZIP-packaged WARC archives in the shared folder, and the records read
+    back by range."""
+    folder = remember(f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}")
+    written = stored(write_archives(with_revisits(table(spark, sf_dir, "pages")), folder), "archives")
+    return read_archives(written, folder)
 
 
 ORACLE_OP6 = """

@@ -6,6 +6,7 @@ import json
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -291,7 +292,10 @@ def test_pages_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     digested = warc_zip.with_revisits(pages)
     for size, zip64 in ((1, False), (1 << 20, True)):
-        got = Counter(map(tuple, warc_zip.read_archives(warc_zip.write_archives(digested, size, zip64)).collect()))
+        folder = str(tmp_path / f"archives-{size}")
+        written = warc_zip.stored(warc_zip.write_archives(digested, folder, size, zip64), "archives")
+        got = Counter(map(tuple, warc_zip.read_archives(written, folder).collect()))
+        assert {r.archive: r.bytes for r in written.collect()} == {f.name: f.stat().st_size for f in Path(folder).iterdir()}
         wanted = Counter()
         for page_id, _, html in rows:
             raw = (html or "").encode()
@@ -299,4 +303,28 @@ def test_pages_round_trip(spark, tmp_path):
             wanted[page_id, len(raw), hashlib.sha256(raw).hexdigest(), "response" if first == page_id else "revisit", None if first == page_id else first] += 1
         assert got == wanted
     none = warc_zip.with_revisits(pages.limit(0))
-    assert warc_zip.read_archives(warc_zip.write_archives(none)).count() == 0
+    written = warc_zip.stored(warc_zip.write_archives(none, str(tmp_path / "none")), "archives")
+    assert warc_zip.read_archives(written, str(tmp_path / "none")).count() == 0
+
+
+def test_records_are_found_by_address(spark, tmp_path):
+    """Every address of a file, repeated and absent ones, by a few range reads each."""
+    rng = random.Random(14)
+    urls = [f"http://{rng.choice('abc')}.example.org{rng.choice(['', ':8080'])}/p{rng.randrange(400)}?q=é {k % 3}" for k in range(900)] + [None, "", "no address", "http://[bad/x"]
+    pages = spark.createDataFrame([(k, u, f"<p>{k}" + "x" * 200) for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    folder = str(tmp_path / "w")
+    (archive,) = warc_zip.stored(warc_zip.write_archives(warc_zip.with_revisits(pages), folder), "archives").collect()
+    with (Path(folder) / archive.archive).open("rb") as f:
+        read_at, size = warc_zip.file_reader(f)
+        asked = []
+
+        def counted(at, n):
+            asked.append(n)
+            return read_at(at, n)
+
+        for url in [*dict.fromkeys(urls), "http://z.example.org/", "a", "~"]:
+            found = sorted(headers["WARC-Record-ID"] for headers, _ in warc_zip.find_records(read_at, size, url))
+            key = warc_zip.url_key(url)
+            assert found == sorted(f"<urn:page:{k}>" for k, u in enumerate(urls) if warc_zip.url_key(u) == key)
+        assert len(list(warc_zip.find_records(counted, size, urls[5]))) >= 1
+        assert len(asked) < 60
