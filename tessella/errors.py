@@ -1,4 +1,4 @@
-"""Errors that the engine raises, always before anything is run."""
+"""Errors that the engine raises: before anything is run, but for ``Conflict`` and ``RepeatedId``."""
 
 
 class EngineError(Exception):
@@ -23,3 +23,11 @@ class SchemaParserError(EngineError):
     def __init__(self, line: int, reason: str):
         super().__init__(f"line {line}: {reason}")
         self.line = line
+
+
+class Conflict(EngineError):
+    """Another writer changed the same table or catalog meanwhile."""
+
+
+class RepeatedId(EngineError):
+    """Changes name a tuple id more than once."""

@@ -1,4 +1,9 @@
-"""Scan, equality filter, projections and inner equi-join; all keep bag semantics."""
+"""Scan, equality filter, projections and inner equi-join; all keep bag semantics.
+
+Defined results: a null equals no constant and no other cell (a comparison of columns is null
+there), so it is neither selected nor joined; projections and scans keep nulls; repeated rows stay
+repeated; empty inputs give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,15 +1,22 @@
-"""Sorting beyond memory, ranks without a single-task window, and the order check."""
+"""Sorting beyond memory, numbers and ranks without a single-task window, and the order check.
+
+Defined results: nulls come first; ties are numbered in any order; an empty input gives no rows, no
+violations and an empty file; a null has no order, so it is no violation.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.storage import stored
+from tessella.storage import Store, arrow_store, stored
 
 _LOCAL = (1 << 33) - 1
+#: Bytes of a raw file that a task reads at once.
+CHUNK = 8 << 20
 
 
 def sort_ascending(df: DataFrame, *columns: str) -> DataFrame:
@@ -17,19 +24,38 @@ def sort_ascending(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*columns)
 
 
-def ranked(df: DataFrame, *columns: str, rank: str = "rn") -> DataFrame:
-    """Rows with their 1-based position in ascending order; ties are numbered in any order.
+def numbered(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Rows with numbers from ``start`` on, without gaps, in the order of the partitions.
 
-    The sorted rows are written once. Positions within a partition follow from the written
-    order; how many rows stand before a partition comes from one count a partition.
+    The rows are written once. Numbers within a partition follow from the written order; how many
+    rows stand before a partition comes from one count a partition.
     """
-    placed = stored(df.orderBy(*columns).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    placed = stored(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row a partition: small enough for one task
+    # one row of 16 bytes a partition: small enough for one task, and for a broadcast
     before = counts.selectExpr("_part", "sum(_n) over (order by _part rows between unbounded preceding and current row) - _n as _before")
     joined = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return joined.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit(_LOCAL)) + 1).cast("long").alias(rank))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit(_LOCAL)) + start).cast("long").alias(name))
+
+
+def ranked(df: DataFrame, *columns: str, rank: str = "rn") -> DataFrame:
+    """Rows with their 1-based position in ascending order."""
+    return numbered(df.orderBy(*columns), rank, 1)
+
+
+def ranked_within(df: DataFrame, keys: list[str], order: str, rank: str) -> DataFrame:
+    """Rows with their 1-based position, by ``order``, among those of equal keys (nulls are equal).
+
+    A key of any number of rows is spread over the range partitions; the window that adds up its
+    counts has one row for each partition and key.
+    """
+    placed = stored(df.orderBy(*keys, order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_part"), *keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.struct(*keys).alias("_keys"), "_part", "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    same = (F.shiftright("_at", 33) == F.col("_part")) & F.struct(*keys).eqNullSafe(F.col("_keys"))
+    return placed.join(before, same).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(rank))
 
 
 def order_violations(rows: DataFrame, value: str, rank: str = "rn") -> DataFrame:
@@ -39,32 +65,62 @@ def order_violations(rows: DataFrame, value: str, rank: str = "rn") -> DataFrame
     return here.join(before, "_rank").agg(F.coalesce(F.sum(F.when(F.col("_value") < F.col("_before"), 1).otherwise(0)), F.lit(0)).cast("long").alias("violations"))
 
 
-def read_uint64(spark: SparkSession, path: str) -> DataFrame:
-    """A raw file of native-endian unsigned 64-bit integers, as DECIMAL(20,0) column ``v``.
+def _split(path: str) -> tuple[str, str]:
+    folder, _, name = path.rpartition("/")
+    return folder or ".", name
 
-    Fixed-length records are split by Hadoop, so a large file is read by many tasks.
-    """
-    records = spark.sparkContext.binaryRecords(path, 8).mapPartitions(lambda it: [(bytearray(b"".join(it)),)])
-    chunks = spark.createDataFrame(records, "raw binary")
+
+def read_uint64(spark: SparkSession, path: str) -> DataFrame:
+    """A raw file of native-endian unsigned 64-bit integers, as DECIMAL(20,0) column ``v`` and their
+    places in the file, ``at``; each task reads chunks of it by their ranges."""
+    size = Store(spark).size(path)
+    if size % 8:
+        raise ValueError(f"{path} has {size} bytes, no multiple of 8")
+    chunks = spark.range(0, -(-size // CHUNK), 1, max(1, min(-(-size // CHUNK), 8 * spark.sparkContext.defaultParallelism)))
+    folder, name = _split(path)
 
     def run(batches):
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "=u8"), pa.uint64()).cast(pa.decimal128(20, 0))], names=["v"])
+        store, at = arrow_store(folder)
+        with store.open_input_file(f"{at}/{name}") as file:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    raw = file.read_at(min(CHUNK, size - k * CHUNK), k * CHUNK)
+                    values, first = np.frombuffer(raw, "=u8"), k * CHUNK // 8
+                    columns = [pa.array(values, pa.uint64()).cast(pa.decimal128(20, 0)), pa.array(np.arange(first, first + len(values)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["v", "at"])
 
-    return chunks.mapInArrow(run, "v decimal(20,0)")
+    return chunks.mapInArrow(run, "v decimal(20,0), at long")
 
 
 def write_uint64(df: DataFrame, column: str, path: str) -> int:
-    """Write a column to one raw file on the client, partition by partition; the number written."""
-    n = 0
-    with open(path, "wb") as f:
-        for row in df.select(F.col(column).cast("decimal(20,0)").alias("v")).toLocalIterator(prefetchPartitions=True):
-            f.write(int(row.v).to_bytes(8, "little" if np.little_endian else "big"))
-            n += 1
-    return n
+    """Write a column to one raw file, in the order of the partitions; the number written.
+
+    Tasks write a raw file for each partition beside the target; the JVM then joins them.
+    """
+    folder = f"{path}.parts"
+    store = Store(df.sparkSession)
+    store.delete(folder)
+
+    def run(batches):
+        context = TaskContext.get()
+        name, n = f"{context.partitionId():06d}-{context.taskAttemptId():x}", 0
+        system, at = arrow_store(folder)
+        system.create_dir(at, recursive=True)
+        with system.open_output_stream(f"{at}/{name}") as out:
+            for batch in batches:
+                values = batch.column(0).cast(pa.uint64()).to_numpy(zero_copy_only=False)
+                out.write(values.astype("=u8").tobytes())
+                n += len(values)
+        if n:
+            yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
+
+    parts = df.select(F.col(column).cast("decimal(20,0)").alias("v")).mapInArrow(run, "name string, n long")
+    written = sorted(tuple(r) for r in parts.collect())  # one row a partition
+    store.concatenate([f"{folder}/{name}" for name, _ in written], path)
+    store.delete(folder)
+    return sum(n for _, n in written)
 
 
 def sort_file(spark: SparkSession, source: str, target: str) -> int:
     """Sort a raw file of unsigned 64-bit integers into another; an empty file gives an empty one."""
-    return write_uint64(sort_ascending(read_uint64(spark, source), "v"), "v", target)
+    return write_uint64(sort_ascending(read_uint64(spark, source).select("v"), "v"), "v", target)

@@ -36,6 +36,27 @@ def test_repeated_keys_and_absent_ones(spark):
     assert KeyIndex(index.entries.limit(0)).lookup(spark.createDataFrame([(0,)], "k long")).first().found is False
 
 
+def test_null_keys_are_keys(spark):
+    index = KeyIndex(spark.createDataFrame([(None, 1), (None, 2), (3, None), (3, 7)], "k long, tid long"))
+    probes = spark.createDataFrame([(None,), (3,), (4,), (None,)], "k long")
+    found = sorted(((str(r.k), r.found, r.tid) for r in index.lookup(probes).collect()))
+    assert found == [("3", True, 7), ("4", False, 0), ("None", True, 1), ("None", True, 1)]
+    assert index.find(None) == (True, 1) and index.find(4) == (False, 0)
+    assert sorted((str(r.k), str(r.tid)) for r in index.erase(probes.limit(2)).entries.collect()) == [("3", "7"), ("None", "2")]
+    fewer, was = index.erase_one(None)
+    assert was and fewer.find(None) == (True, 2)
+    same, was = index.erase_one(99)
+    assert not was and same is index
+    assert index.lookup(probes.limit(0)).count() == 0
+
+
+def test_a_hot_key_is_erased_by_its_least_ids(spark):
+    index = KeyIndex(spark.range(4000).selectExpr("if(id % 4 = 0, id, 7) as k", "id as tid").repartition(5))
+    left = index.erase(spark.createDataFrame([(7,)] * 5 + [(8,), (9,)], "k long"))
+    assert left.size().first().n == 4000 - 6
+    assert sorted(r.tid for r in index.entries.join(left.entries, ["k", "tid"], "left_anti").collect()) == [1, 2, 3, 5, 6, 8]
+
+
 def test_saved_index_is_in_key_order(spark, tmp_path):
     entries = spark.range(1000).select((999 - F.col("id")).alias("k"), F.col("id").alias("tid"))
     index = KeyIndex(entries).save(str(tmp_path / "i"))
@@ -56,6 +77,36 @@ def test_ranks_and_violations(spark):
     assert sorting.order_violations(wrong.limit(0), "v").first().violations == 0
 
 
+def test_ranks_with_nulls_and_within_keys(spark):
+    rows = spark.createDataFrame([(None,), (2,), (1,), (None,), (1,)], "v long").repartition(3)
+    found = sorted((r.rn, r.v) for r in sorting.ranked(rows, "v").collect())
+    assert [v for _, v in found] == [None, None, 1, 1, 2] and [n for n, _ in found] == [1, 2, 3, 4, 5]
+    assert sorting.order_violations(sorting.ranked(rows, "v"), "v").first().violations == 0
+    assert sorting.ranked(rows.limit(0), "v").count() == 0
+    keyed = spark.range(500).selectExpr("if(id < 400, null, id % 3) as k", "id as v").repartition(7)
+    placed = sorting.ranked_within(keyed, ["k"], "v", "at").collect()
+    for key in (None, 0, 1, 2):
+        own = sorted((r.at, r.v) for r in placed if r.k == key)
+        assert [a for a, _ in own] == list(range(1, len(own) + 1)) and [v for _, v in own] == sorted(v for _, v in own)
+    assert len(placed) == 500
+    numbers = sorted(r.n for r in sorting.numbered(keyed, "n", 10).collect())
+    assert numbers == list(range(10, 510))
+
+
+def test_sort_file_of_many_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sorting, "CHUNK", 800)
+    values = np.random.default_rng(2).integers(0, 2**64 - 1, 5001, dtype=np.uint64)
+    values.tofile(tmp_path / "in")
+    assert sorting.sort_file(spark, str(tmp_path / "in"), str(tmp_path / "out")) == 5001
+    assert (np.fromfile(tmp_path / "out", np.uint64) == np.sort(values)).all()
+    assert sorted(f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")) == ["in", "out"]
+    places = sorted((r["at"], int(r.v)) for r in sorting.read_uint64(spark, str(tmp_path / "out")).collect())
+    assert [v for _, v in places] == np.sort(values).tolist() and [a for a, _ in places] == list(range(5001))
+    (tmp_path / "odd").write_bytes(b"123")
+    with pytest.raises(ValueError, match="multiple of 8"):
+        sorting.read_uint64(spark, str(tmp_path / "odd"))
+
+
 def test_sort_file_of_unsigned_values(spark, tmp_path):
     values = np.array([2**64 - 1, 0, 2**63, 5, 5, 2**63 - 1], np.uint64)
     values.tofile(tmp_path / "in")

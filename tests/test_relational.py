@@ -118,3 +118,20 @@ def test_cursor_and_registers(left):
 def test_columns_equal(left):
     assert [r.equal for r in relational.columns_equal(left, "id", "n").collect()] == [False, False, False]
     assert [r.equal for r in relational.columns_equal(left, "id", "name").collect()] == [False, False, False]
+
+
+def test_nulls_in_every_operator(spark):
+    """Never selected or joined, always kept by scans and projections, empty in the text sink."""
+    frame = Frame.of(spark.createDataFrame([(None, "x", None), (1, None, 1), (1, "x", 2), (None, None, None)], "id int, name string, n int"))
+    assert len(list(relational.select_equal(frame, "id", 1).rows())) == 2
+    assert len(list(relational.select_equal(frame, "name", "x").rows())) == 2 and len(rows(relational.select_equal(frame, "name", ""))) == 0
+    assert sorted(map(str, relational.project_positions(frame, [0, 0]).rows())) == ["(1, 1)", "(1, 1)", "(None, None)", "(None, None)"]
+    assert len(list(relational.hash_join(frame, frame, "id", "id").rows())) == 4
+    assert len(list(relational.hash_join(frame, frame, "name", "name").rows())) == 4
+    assert sorted(str(r.equal) for r in relational.columns_equal(frame, "id", "n").collect()) == ["False", "None", "None", "True"]
+    assert sorted(r.line for r in text_sink.lines(frame).collect()) == [", , ", ", x, ", "1, , 1", "1, x, 2"]
+    cursor = Cursor(relational.select_equal(frame, "n", 1))
+    cursor.open()
+    assert cursor.next() and cursor.output()[1].value is None
+    empty = Frame(frame.df.limit(0), frame.names)
+    assert rows(relational.select_equal(empty, "id", 1)) == rows(relational.hash_join(empty, frame, "id", "id")) == rows(relational.project_names(empty, ["n"])) == []
