@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import identifiers
-from tessella.operators import records, relational, sorting, text_sink
+from tessella.operators import relational, sorting, text_sink
 from tessella.operators.frame import Frame
 from tessella.operators.index import KeyIndex
-from tessella.sources import ddl
-from tessella.sources.schema import Schema
+from tessella.plans import database_queries
+from tessella.storage import remember, shared_dir
 
 
 def _scan(spark: SparkSession, sf_dir: str, name: str) -> Frame:
@@ -100,26 +102,8 @@ def char_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select(identifiers.pad_char(F.col("n_name"), 8).alias("c8"))
 
 
-def dml_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return records.insert(nation, nation.withColumn("n_nationkey", F.col("n_nationkey") + 100))
-
-
-def dml_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("range"), F.col("o_orderstatus").alias("st"))
-    found = records.lookup(orders, spark.range(0, 20000, 11).withColumnRenamed("id", "range"), "range")
-    return found.select("range", "found", F.coalesce("st", F.lit("")).alias("st"))
-
-
-def dml_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    changes = customer.filter("c_custkey % 10 = 0").select("c_custkey", F.lit("UPDATED").alias("c_mktsegment"))
-    return records.update(customer, changes, "c_custkey")
-
-
-def dml_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return records.remove(orders, orders.filter("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey").select(*orders.columns)
+def register_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.columns_equal(_scan(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 def _order_index(spark: SparkSession, sf_dir: str) -> KeyIndex:
@@ -137,8 +121,11 @@ def _sevenths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idx_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _order_index(spark, sf_dir).erase(_sevenths(spark, sf_dir))
-    return index.lookup(spark.range(0, 20000, 3).withColumnRenamed("id", "k"))
+    """A saved index without every seventh key, probed with all of the table's keys and as many absent ones."""
+    path = remember(f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    _order_index(spark, sf_dir).erase(_sevenths(spark, sf_dir)).save(path)
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    return KeyIndex.load(spark, path).lookup(keys.union(keys.select(-1 - F.col("k"))))
 
 
 def idx_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,21 +136,6 @@ def idx_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_index(spark, sf_dir).size()
 
 
-DDL = "create table employee ( id integer, country_id char(2), salary integer, primary key (id, country_id));\ncreate table department ( id integer, primary key (id), name char( 25 ));"
-
-
-def ddl_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The declared relations of a script with their segments, keys and implicit indexes."""
-    schema = Schema()
-    schema.merge(ddl.parse(DDL))
-    rows = [
-        (r.name, r.segment, k, a.name, a.type, a.length, k in r.primary_key, next((i.segment for i in r.indices if i.attribute == a.name), 0))
-        for r in schema.relations
-        for k, a in enumerate(r.attributes)
-    ]
-    return spark.createDataFrame(rows, "relation string, segment int, position int, attribute string, type string, length int, in_key boolean, index_segment int")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -183,17 +155,13 @@ QUERIES = {
         tid_codec,
         pageid_codec,
         char_pad,
-        dml_insert,
-        dml_lookup,
-        dml_update,
-        dml_remove,
+        register_eq,
         idx_insert,
         idx_lookup,
         idx_erase,
         idx_size,
-        ddl_string,
     )
-}
+} | database_queries.QUERIES
 
 ORACLE_SQL = {
     "scan": "SELECT * FROM orders",
@@ -212,13 +180,10 @@ ORACLE_SQL = {
     "tid_codec": "SELECT o_orderkey, ((o_orderkey // 1000) << 16) | (o_orderkey % 1000) AS tid, o_orderkey // 1000 AS page, o_orderkey % 1000 AS slot FROM orders",
     "pageid_codec": "SELECT o_orderkey, ((o_orderkey % 100) << 48) | o_orderkey AS page_id, o_orderkey % 100 AS segment, o_orderkey AS page FROM orders",
     "char_pad": "SELECT rpad(n_name, 8, ' ') AS c8 FROM nation",
-    "dml_insert": "SELECT * FROM nation UNION ALL SELECT CAST(n_nationkey + 100 AS INT) AS n_nationkey, n_name, n_regionkey FROM nation",
-    "dml_lookup": "SELECT t.range, st IS NOT NULL AS found, coalesce(st, '') AS st FROM range(0, 20000, 11) t LEFT JOIN (SELECT o_orderkey AS k, o_orderstatus AS st FROM orders) ON t.range = k",
-    "dml_update": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey % 10 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS c_mktsegment FROM customer",
-    "dml_remove": "SELECT * FROM orders WHERE o_orderstatus <> 'F'",
     "idx_insert": "SELECT n_nationkey AS k, n_regionkey AS tid FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey < 3",
-    "idx_lookup": "SELECT p.range AS k, t IS NOT NULL AS found, coalesce(t, 0) AS tid FROM range(0, 20000, 3) p LEFT JOIN (SELECT o_orderkey AS key, o_custkey AS t FROM orders WHERE o_orderkey % 7 <> 0) ON p.range = key",
+    "idx_lookup": "WITH p AS (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -1 - o_orderkey FROM orders) "
+    "SELECT p.k, t IS NOT NULL AS found, coalesce(t, 0) AS tid FROM p LEFT JOIN (SELECT o_orderkey AS key, o_custkey AS t FROM orders WHERE o_orderkey % 7 <> 0) ON p.k = key",
+    "register_eq": "SELECT l_orderkey = l_suppkey AS equal FROM lineitem",
     "idx_erase": "SELECT o_orderkey AS k, o_custkey AS tid FROM orders WHERE o_orderkey % 7 <> 0",
     "idx_size": "SELECT count(*) AS n FROM orders",
-    "ddl_string": "SELECT * FROM (VALUES ('employee', 1, 0, 'id', 'Integer', 0, true, 2), ('employee', 1, 1, 'country_id', 'Char', 2, true, 3), ('employee', 1, 2, 'salary', 'Integer', 0, false, 0), ('department', 4, 0, 'id', 'Integer', 0, true, 5), ('department', 4, 1, 'name', 'Char', 25, false, 0)) t(relation, segment, position, attribute, type, length, in_key, index_segment)",
-}
+} | database_queries.ORACLE_SQL
