@@ -9,7 +9,8 @@
 4. Only suspects' texts are shuffled, grouped by their normalised bytes themselves, with
    partial aggregation on the map side: a text of many copies costs each task one row.
 
-Fingerprints are collected nowhere; an owner holds its range only. Step 1 is written as a table
+Fingerprints are collected nowhere; an owner holds its range only, and there are as many owners as
+keep their parts to about ``OWNED`` rows. Step 1 is written as a table
 in the shared folder, so partitions and their fingerprints stay as they were when executors go.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; ties on
@@ -38,6 +39,8 @@ from tessella.llm.common import bounded_batches, broadcast_if_small, byte_slices
 WHITE = b" \t\n\x0b\x0c\r"
 WHITE_CLASS = "[\\x20\\x09-\\x0D]+"
 BITS = 48
+#: Fingerprints that an owner is meant to hold.
+OWNED = 2_000_000
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
 
@@ -160,7 +163,7 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per document: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    owners = reducers(documents.sparkSession)
+    owners = max(reducers(documents.sparkSession), -(-docs.count() // OWNED))
     sent = stored(_send(docs, owners), "fingerprints")
     narrow = sent.filter("kind = 0").select("pid", "uid", "id", "sha", "n_points")
     lists = sent.filter("kind = 1").select("pid", "owner", "blob")
