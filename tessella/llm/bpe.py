@@ -72,7 +72,9 @@ class WordEncoder:
         self.last = np.array([vocab[symbols[b] + SUFFIX] for b in range(256)], np.int32)
         self.ints = list(range(self.size))
         self.decimal = [str(k) for k in self.ints]
+        #: Encoded words: those met lately, and those met before these.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; those that no merge joins, or with a missing side (-1), have NONE."""
@@ -145,9 +147,7 @@ class WordEncoder:
         return int(self.ranks[at]) if at < len(self.keys) and self.keys[at] == key else int(NONE)
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't remembered, those of like length together."""
-        if len(self.known) + len(words) > MEMORY:
-            self.known = {}
+        """Encode words and remember them; those of like length are worked on together."""
         shelves: dict[int, list[str]] = {}
         for word in words:
             n = len(word.encode())
@@ -207,10 +207,11 @@ class WordEncoder:
     def _encode(self, held: list[list]) -> Iterator[list[list[int]]]:
         words = set(chain.from_iterable(s for text in held for s in text if not isinstance(s, int)))
         missing = words.difference(self.known)
-        if len(self.known) + len(missing) > MEMORY:
-            missing = words
-            self.known = {}
-        self.learn(missing)
+        if len(self.known) + len(missing) > MEMORY // 2:  # words that are met again move on, others are forgotten
+            self.before, self.known, missing = self.known, {}, words
+        again = {word: self.before[word] for word in missing.intersection(self.before)}
+        self.known.update(again)
+        self.learn(missing.difference(again))
         get = self.known.__getitem__
         for text in held:
             yield [[s] if isinstance(s, int) else list(chain.from_iterable(map(get, s))) for s in text]
