@@ -102,7 +102,7 @@ def _counts(documents: DataFrame, id_col: str, text_col: str, lang_col: str | No
         "given",
         "n_words",
         "word_chars",
-        (F.char_length("t") - length_without("[#*$%&|<>]+")).alias("n_symbols"),
+        (F.char_length("t") - F.char_length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         F.char_length("t").cast("long").alias("n_chars"),
