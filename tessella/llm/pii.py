@@ -3,7 +3,8 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, schemes, plus signs, digits and
 identifier cues. From each anchor a deterministic local parser expands to the left and right and
 validates what it found. Kinds of the base rules are email, ip, card and phone; the parsers of
-schemes and cues add url, iban and account.
+schemes and cues add url, iban, account and secret (keys and tokens that are assigned to a name).
+Cues count in lower case, upper case and with one capital.
 
 Defined results: a null or empty text has no spans; spans of one kind don't overlap, those of
 different kinds may; offsets are code points, ends exclusive; repeated rows are treated alike;
@@ -26,9 +27,9 @@ from pyspark.sql import types as T
 from tessella.llm.common import bounded_batches, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "iban", "account")
+KINDS = (*BASE_KINDS, "url", "iban", "account", "secret")
 #: Kinds that redacting replaces: an address of a public page isn't personal.
-REDACTED = ("email", "ip", "card", "phone", "iban", "account")
+REDACTED = ("email", "ip", "card", "phone", "iban", "account", "secret")
 
 # The characters and shapes of the base rules.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,15 +42,21 @@ _URL_REST = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
 _IBAN = re.compile(r"[:\x20]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?:\x20[A-Z0-9])?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number|nummer|num))?\.?[:#\x20]{1,3}([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])")
 
-IBAN_CUES = ("IBAN", "iban")
-ACCOUNT_CUES = ("account", "Account", "acct", "Acct", "Konto", "konto", "cuenta", "Cuenta", "compte", "Compte")
+#: What is assigned to a secret's name: from 16 characters on, with a letter and a digit.
+_SECRET = re.compile(r"[\"']?\x20{0,2}[:=]{1,2}\x20{0,2}[\"']?((?=[A-Za-z0-9_./+=-]*[A-Za-z])(?=[A-Za-z0-9_./+=-]*[0-9])[A-Za-z0-9_./+=-]{16,})")
+
+IBAN_CUES = ("iban",)
+ACCOUNT_CUES = ("account", "acct", "konto", "cuenta", "compte")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key")
+_CUED = {"iban": (IBAN_CUES, _IBAN), "account": (ACCOUNT_CUES, _ACCOUNT), "secret": (SECRET_CUES, _SECRET)}
 
 
 @functools.cache
 def automaton() -> ahocorasick.Automaton:
     """Anchors; each gives its parser's name and its own length."""
     found = ahocorasick.Automaton()
-    anchors = {"@": "at", "://": "scheme", "+": "plus"} | dict.fromkeys("0123456789", "digit") | dict.fromkeys(IBAN_CUES, "iban") | dict.fromkeys(ACCOUNT_CUES, "account")
+    anchors = {"@": "at", "://": "scheme", "+": "plus"} | dict.fromkeys("0123456789", "digit")
+    anchors |= {form: kind for kind, (cues, _) in _CUED.items() for cue in cues for form in (cue, cue.capitalize(), cue.upper())}
     for anchor, parser in anchors.items():
         found.add_word(anchor, (parser, len(anchor)))
     found.make_automaton()
@@ -134,7 +141,7 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 url_end = m.start() + len(rest)
                 spans["url"].append((start, url_end))
         elif at >= cue_end and (at == 0 or not text[at - 1].isalnum()):
-            m = (_IBAN if parser == "iban" else _ACCOUNT).match(text, last + 1)
+            m = _CUED[parser][1].match(text, last + 1)
             value = m[1] if m else ""
             while parser == "iban" and value and not valid_iban(value):
                 value = value.rpartition(" ")[0]  # what follows the number may look like its groups
