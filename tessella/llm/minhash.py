@@ -3,8 +3,8 @@
 1. Document frequencies of all shingles (five words, folded as in :mod:`tessella.llm.tokens`) are
    counted over the whole corpus in two hashed tables of fixed size; the lesser counter, less its
    table's background (the median), stands. Copies and near copies shouldn't make their own
-   shingles look common, so texts count by families: texts with the same least shingle share one
-   count (family sizes come from tables of the same kind). A shingle's weight is its frequency in
+   shingles look common, so texts count by families: texts with the same least shingle, in one of
+   a few orders, share one count (family sizes come from tables of the same kind). A shingle's weight is its frequency in
    the text times ln(1 + families / document frequency).
 2. Texts with the same words (128 bits of BLAKE2 over them) are one node. Every node gets
    ``BANDS * ROWS`` samples by improved consistent weighted sampling; equal samples of a whole
@@ -54,6 +54,9 @@ AGREE = 33
 #: Counters of a table: 2 ** DF_BITS; they travel in DF_BLOCKS parts.
 DF_TABLES, DF_BITS, DF_BLOCKS, DF_SHARDS = 2, 20, 16, 16
 
+#: Orders in which texts' least shingles make families.
+FAMILIES = 3
+
 #: Bounds of a block: nodes, and words (but for a longer text).
 BLOCK_NODES, BLOCK_WORDS = 160, 1_000_000
 #: A tournament goes on while each round leaves at most this share of the roots.
@@ -205,13 +208,21 @@ def _add_packed(total: np.ndarray, blob: bytes) -> None:
         total += np.frombuffer(blob, "<f8", -1, 1)
 
 
+def family_keys(n: int, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n texts have shingles, and a row for each with its least shingle in each of FAMILIES orders."""
+    texts = np.unique(doc)
+    found = np.empty((len(texts), FAMILIES), np.uint64)
+    for k in range(FAMILIES):
+        least = np.full(n, np.iinfo(np.uint64).max)
+        np.minimum.at(least, doc, value * _FACTORS[-1 - k])
+        found[:, k] = mix(least[texts] + np.uint64(k))
+    return texts, found
+
+
 def families(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The least shingle (mixed anew) of each text that has words, each counting one."""
-    doc, value = windows(words(raw, offsets, punctuation=False), SHINGLE)
-    least = np.full(len(offsets) - 1, np.iinfo(np.uint64).max)
-    np.minimum.at(least, doc, value)
-    found = mix(least[np.unique(doc)])
-    return found, np.ones(len(found)), len(found)
+    """The families of the texts that have words, each counting one."""
+    texts, found = family_keys(len(offsets) - 1, *windows(words(raw, offsets, punctuation=False), SHINGLE))
+    return found.ravel(), np.ones(found.size), len(texts)
 
 
 def document_frequencies(docs: DataFrame) -> Weights:
@@ -220,11 +231,10 @@ def document_frequencies(docs: DataFrame) -> Weights:
 
     def keys(raw, offsets):
         _, doc, value, _ = shingles(raw, offsets)
-        first = np.flatnonzero(np.diff(doc, prepend=-1))
-        share = 1.0 / sizes.value.of(mix(value[first]))
-        if sizes.value.least > 1:
-            share = np.minimum(1.0, share * sizes.value.least)  # sizes within the noise count as one
-        return value, np.repeat(share, np.diff(np.append(first, len(doc)))), share.sum()
+        texts, found = family_keys(len(offsets) - 1, doc, value)
+        size = np.max([sizes.value.of(found[:, k]) for k in range(FAMILIES)], axis=0)
+        share = np.minimum(1.0, sizes.value.least / size.astype(np.float64))  # sizes within the noise count as one
+        return value, np.repeat(share, np.bincount(doc, minlength=len(offsets) - 1)[texts]), share.sum()
 
     return Weights(count_hashed(docs, keys))
 
