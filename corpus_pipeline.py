@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, minhash, packing, pii, quality
 from tessella.llm.common import broadcast_if_small, stored, table
+from tessella.storage import mark, release
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -74,8 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again by the next; what a
+    stage kept for itself goes once its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, since, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -44,11 +44,17 @@ def remember(path: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that ``stored`` wrote in this process, once no result needs them; how many."""
-    n = sum(Store(spark).delete(path) for path in _written)
-    _written.clear()
-    return n
+def mark() -> int:
+    """How far tables were stored by now, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete the tables that ``stored`` wrote in this process from ``since`` (a ``mark``) on, but
+    for the last ``but``, once no result needs them; how many."""
+    gone = _written[since : len(_written) - but]
+    del _written[since : len(_written) - but]
+    return sum(Store(spark).delete(path) for path in gone)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
