@@ -31,7 +31,10 @@ def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarra
 
 
 def fit_sigmoid(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset that turn margins into probabilities (regularised Newton steps)."""
+    """Slope and offset that turn margins, whatever their scale, into probabilities (regularised
+    Newton steps on the centred and scaled margins)."""
+    middle, scale = float(margins.mean()), float(margins.std()) or 1.0
+    margins = (margins - middle) / scale
     n1, n0 = labels.sum(), (1 - labels).sum()
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     slope, offset = 1.0, 0.0
@@ -44,7 +47,8 @@ def fit_sigmoid(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tup
         slope, offset = slope - np.clip(change[0], -2, 2), offset - np.clip(change[1], -2, 2)
         if abs(change).max() < 1e-8:
             break
-    return max(float(slope), 1e-3), float(offset)
+    slope = max(float(slope), 1e-3) / scale
+    return slope, float(offset) - slope * middle
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
