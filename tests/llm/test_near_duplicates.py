@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import exact_dedup, minhash, registry
+from tessella.llm import exact_dedup, minhash, packing, pii, quality, registry
 from tessella.llm.components import connected_components
 
 
@@ -237,13 +237,33 @@ def test_one_row_is_kept_of_each_class(spark):
     assert len(found) == len(rows)
 
 
-def test_stages_with_edges(spark, edge_docs, no_docs, tmp_path):
+def test_stages_with_edges(spark, edge_docs, edge_rows, no_docs, tmp_path):
+    """All edge rows through each stage on its own: equal to brute force, and nothing from nothing."""
     spark.createDataFrame([(100 + k, 1 - (k % 5 == 0)) for k in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (edge_docs.limit(20), no_docs):
-        for name, stage in corpus_pipeline.STAGES:
-            found = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), name)
-            assert name == "pack" or found.columns == docs.columns
-            assert found.count() <= docs.count() or name == "pack"
+    stages = dict(corpus_pipeline.STAGES)
+
+    def texts(name):
+        found = stages[name](spark, edge_docs, str(tmp_path))
+        assert found.columns == edge_docs.columns
+        return Counter((r.doc_id, r.text, r.n_chars) for r in found.collect())
+
+    every = Counter((doc_id, text, None if text is None else len(text)) for doc_id, text, _, _ in edge_rows)
+    groups = {}
+    for doc_id, text, n in every.elements():
+        groups.setdefault(re.sub("[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), doc_id is None, doc_id or 0, (doc_id, text, n)))
+    stay = [min(g, key=lambda x: x[:3])[3] for g in groups.values()]
+    assert texts("exact") == Counter({row: 1 if row[0] is None else every[row] for row in stay})
+    assert texts("pii") == Counter((d, None if t is None else pii.redact(t), None if t is None else len(pii.redact(t))) for d, t, _ in every.elements())
+    near = texts("near")
+    classes = {r.doc_id: r.class_id for r in minhash.near_duplicates(edge_docs).collect()}
+    assert {d for d, *_ in near if d is not None} == {c for c in classes.values() if c is not None} and near <= every
+    model = quality.train(edge_docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    score = {text: float(model.scores(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))[0]) for _, text, _ in every}
+    assert texts("quality") == Counter(r for r in every.elements() if score[r[1]] >= quality.THRESHOLD)
+    packed = packing.pack(edge_docs).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(d for d, *_ in every.elements())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, str(tmp_path)).count() == 0
 
 
 def test_pipeline_of_nothing(spark, tmp_path):
