@@ -58,7 +58,9 @@ DF_TABLES, DF_BITS, DF_BLOCKS, DF_SHARDS = 2, 20, 16, 16
 FAMILIES = 3
 
 #: Bounds of a block: nodes, and words (but for a longer text).
-BLOCK_NODES, BLOCK_WORDS = 160, 1_000_000
+BLOCK_NODES, BLOCK_WORDS = 500, 1_000_000
+#: Nodes of a block of which signatures alone are compared.
+SIGNED_NODES = 2000
 #: A tournament goes on while each round leaves at most this share of the roots.
 SHRINK = 0.8
 
@@ -442,24 +444,24 @@ _PAIR = ["bucket", "left_block", "block"]
 def _across(full: DataFrame, roots: DataFrame, weights, threshold: float) -> DataFrame | None:
     """Links between classes, from the buckets that hold several: in each, what is outside its
     largest class is compared, block against block, with every node of another class."""
-    rooted = stored(full.select("node", "bands", "bytes").join(roots.select("node", "root"), "node"), "rooted")
+    rooted = stored(full.select("node", "n_words", "bands", "bytes").join(roots.select("node", "root"), "node"), "rooted")
     members = stored(_band_members(rooted), "buckets")
     counted = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     split = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    blocks = F.ceil((F.col("all") - F.col("most.n")) / BLOCK_NODES).cast("int").alias("left_blocks"), F.ceil(F.col("all") / BLOCK_NODES).cast("int").alias("blocks")
+    blocks = F.ceil((F.col("all") - F.col("most.n")) / SIGNED_NODES).alias("left_blocks"), F.ceil(F.col("all") / SIGNED_NODES).alias("blocks")
     split = stored(split.select("bucket", F.col("most.root").alias("main"), *blocks), "split")
     if split.isEmpty():
         return None
     rows = members.join(broadcast_if_small(split), "bucket").withColumn("outside", F.col("root") != F.col("main"))
-    left = rows.filter("outside").withColumn("left_block", F.pmod(F.xxhash64("node", F.lit(-1)), "left_blocks").cast("int"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    right = rows.withColumn("left_block", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)))
-    right = right.withColumn("block", F.pmod(F.xxhash64("node", F.lit(-2)), "blocks").cast("int")).withColumn("side", F.lit(1))
+    left = rows.filter("outside").withColumn("left_block", F.pmod(F.xxhash64("node", F.lit(-1)), "left_blocks"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    right = rows.withColumn("left_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - 1)))
+    right = right.withColumn("block", F.pmod(F.xxhash64("node", F.lit(-2)), "blocks")).withColumn("side", F.lit(1))
     columns = [*_PAIR, "side", "node"]
     narrow = left.select(*columns, "band", "root", "outside").union(right.select(*columns, "band", "root", "outside"))
     signed = narrow.join(rooted.drop("root"), "node")
     survivors = stored(_survivors(signed), "survivors")
-    with_texts = survivors.join(full.select("node", "text"), "node").join(rooted.drop("root"), "node")
+    with_texts = survivors.join(full.select("node", "bands", "bytes", "text"), "node")
     return stored(_link_across(with_texts, weights, threshold), "across")
 
 
@@ -500,35 +502,52 @@ def _open_pairs(left: _Side, right: _Side, band: int):
 
 
 def _sides(batches):
-    for _, block in _runs(batches, 3):
+    for key, block in _runs(batches, 3):
         side = block.column("side").to_numpy()
         left, right = (block.filter(pa.array(side == k)) for k in (0, 1))
         if left.num_rows and right.num_rows:
-            yield block.column("band")[0].as_py(), _Side(left), _Side(right)
+            yield key, block.column("band")[0].as_py(), _Side(left), _Side(right)
+
+
+def _text_blocks(n_words: np.ndarray) -> np.ndarray:
+    """A block for each of some texts, in order, by the bounds of BLOCK_NODES and BLOCK_WORDS."""
+    found, nodes, held = [0] * len(n_words), 0, 0
+    for k, n in enumerate(n_words.tolist()):
+        new = nodes == BLOCK_NODES or nodes and held + n > BLOCK_WORDS
+        nodes, held = (1, n) if new else (nodes + 1, held + n)
+        found[k] = (found[k - 1] if k else 0) + bool(new)
+    return np.array(found, np.int64)
 
 
 def _survivors(rows: DataFrame) -> DataFrame:
-    """The rows of pairs of blocks whose signatures leave a possible link."""
-    kept = ["bucket", "left_block", "block", "side", "node", "band", "root", "outside"]
+    """For each pair of blocks of texts whose signatures leave a possible link, the nodes with one."""
+    kept = ["side", "node", "band", "root", "outside"]
 
     def run(batches):
-        for band, left, right in _sides(batches):
-            some, others = np.zeros(len(left.node), bool), np.zeros(len(right.node), bool)
-            for k, found in _open_pairs(left, right, band):
-                some[k] = others[found] = True
-            for side, mask in ((left, some), (right, others)):
-                if mask.any():
-                    yield from side.rows.select(kept).filter(pa.array(mask)).combine_chunks().to_batches()
-
-    kind = "bucket long, left_block int, block int, side int, node long, band int, root long, outside boolean"
-    return _dealt(rows, _PAIR, [*kept, "bands", "bytes"]).mapInArrow(run, kind)
+        for (bucket, left_block, right_block), band, left, right in _sides(batches):
+            pairs = list(_open_pairs(left, right, band))
+            if not pairs:
+                continue
+            k, m = np.repeat([k for k, _ in pairs], [len(f) for _, f in pairs]), np.concatenate([f for _, f in pairs])
+            (some, k_at), (others, m_at) = (np.unique(x, return_inverse=True) for x in (k, m))
+            of_k = _text_blocks(left.rows.column("n_words").to_numpy()[some])[k_at]
+            of_m = _text_blocks(right.rows.column("n_words").to_numpy()[others])[m_at]
+            for x, y in np.unique(np.stack([of_k, of_m]), axis=1).T.tolist():
+                own = (of_k == x) & (of_m == y)
+                for side, nodes in ((left, k[own]), (right, m[own])):
+                    taken = side.rows.select(kept).take(pa.array(np.unique(nodes))).combine_chunks()
+                    key = [pa.array(np.full(taken.num_rows, v, np.int64)) for v in (bucket, left_block << 20 | x, right_block << 20 | y)]
+                    yield pa.RecordBatch.from_arrays([*key, *[taken.column(c).combine_chunks() for c in kept]], names=[*_PAIR, *kept])
+
+    kind = "bucket long, left_block long, block long, side int, node long, band int, root long, outside boolean"
+    return _dealt(rows, _PAIR, [*_PAIR, *kept, "n_words", "bands", "bytes"]).mapInArrow(run, kind)
 
 
 def _link_across(rows: DataFrame, weights, threshold: float) -> DataFrame:
     """(u, v): roots of classes with a link between a text of the left and one of the right side."""
 
     def run(batches):
-        for band, left, right in _sides(batches):
+        for _, band, left, right in _sides(batches):
             a, b = _Texts(left.rows, weights.value), _Texts(right.rows, weights.value)
             of_a, of_b = left.root.tolist(), right.root.tolist()
             names = {root: k for k, root in enumerate(sorted({*of_a, *of_b}))}

@@ -95,6 +95,7 @@ def test_classes_match_brute_force(spark, near_rows):
 def test_blocks_and_tournaments_lose_no_link(spark, near_rows, monkeypatch):
     """Blocks of a few nodes, so that each group needs a tournament and the block-wise rest."""
     monkeypatch.setattr(minhash, "BLOCK_NODES", 2)
+    monkeypatch.setattr(minhash, "SIGNED_NODES", 7)
     rng = random.Random(5)
     base = [f"h{k}" for k in range(400)]
     hot = [(1000 + k, " ".join(edited(rng, base, 2 + k % 3))) for k in range(40)]
