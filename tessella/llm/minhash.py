@@ -125,10 +125,12 @@ class Counts:
     """How often hashed keys occur, from tables of fixed size; never less than ``least``, the noise."""
 
     def __init__(self, tables: np.ndarray, total: float):
-        background = np.median(tables, axis=1)
+        background = np.array([np.median(t) for t in tables])
         self.total = total
         self.least = max(1.0, 4.0 * float(np.sqrt(background.max())))
-        self.found = np.maximum(tables - background[:, None], self.least).astype(np.float32)
+        self.found = np.empty(tables.shape, np.float32)
+        for found, table, ground in zip(self.found, tables, background, strict=True):
+            np.maximum(table - ground, self.least, out=found, casting="same_kind")
 
     def of(self, value: np.ndarray) -> np.ndarray:
         slots = _slots(value)
@@ -142,7 +144,6 @@ class Weights:
     """Inverse document frequencies of hashed shingles, as shares of the rarest ones' weight."""
 
     def __init__(self, counts: Counts):
-        self.counts = counts
         n = max(1.0, counts.total)
         self.log = np.log(np.log1p(n / counts.found) / np.log1p(n / counts.least)).astype(np.float32)
 
@@ -238,7 +239,9 @@ def document_frequencies(docs: DataFrame) -> Weights:
         share = np.minimum(1.0, sizes.value.least / size.astype(np.float64))  # sizes within the noise count as one
         return value, np.repeat(share, np.bincount(doc, minlength=len(offsets) - 1)[texts]), share.sum()
 
-    return Weights(count_hashed(docs, keys))
+    found = Weights(count_hashed(docs, keys))
+    sizes.destroy()  # the counts are here; no task needs the sizes again
+    return found
 
 
 def _signatures(docs: DataFrame, weights) -> DataFrame:
