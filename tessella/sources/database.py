@@ -29,6 +29,10 @@ from tessella.storage import Store, Versions, stored
 CATALOG = "catalog"
 #: How often a change starts anew after other writers' changes.
 ATTEMPTS = 10
+#: Bytes of values, measured, that a join by ids may broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of an id in a row of its own.
+ID_BYTES = 16
 Result = TypeVar("Result")
 
 
@@ -41,6 +45,19 @@ def _retried(change: Callable[[], Result]) -> Result:
     return change()
 
 
+def _measured(rows: DataFrame) -> int:
+    """Bytes of a table's values as rows hold them in memory; one pass."""
+    texts = [f.name for f in rows.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum((F.coalesce(F.octet_length(rows[x]), F.lit(0)) for x in texts), F.lit(8 + 8 * len(rows.columns)))
+    return rows.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def _sized(rows: DataFrame, size: int) -> DataFrame:
+    """One side of a join by ids; beyond BROADCAST_BYTES it is sorted and merged. Spark's own
+    estimate is the size of the compressed files, a small part of what dense ids take on the driver."""
+    return rows.hint("merge") if size > BROADCAST_BYTES else rows
+
+
 class Database:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.store = spark, root.rstrip("/"), Store(spark)
@@ -187,7 +204,7 @@ class Table:
         once is refused, and nothing changes."""
         asked = stored(changes, "changes")
         records.refuse_repeats(asked)
-        return self._rewrite(asked, "updated", lambda now: records.updated(now, asked))
+        return self._rewrite(asked, "updated", records.updated)
 
     def update_one(self, tid: int, *values: object) -> bool:
         """Replace a record; whether there was one."""
@@ -196,20 +213,23 @@ class Table:
     def remove(self, tids: DataFrame) -> DataFrame:
         """Remove records by id; (``_tid``, ``removed``) tells which existed."""
         asked = stored(tids.select(TID), "removals")
-        return self._rewrite(asked, "removed", lambda now: records.remove(now, asked))
+        return self._rewrite(asked, "removed", records.remove)
 
     def remove_one(self, tid: int) -> bool:
         """Remove a record; whether there was one."""
         return self.remove(self.spark.createDataFrame([(tid,)], f"{TID} long")).first().removed
 
-    def _rewrite(self, asked: DataFrame, name: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def _rewrite(self, asked: DataFrame, name: str, change: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        sized = _sized(asked, _measured(asked))
+
         def attempt() -> DataFrame:
             number, manifest = self._manifest()
             now = manifest["parts"]
-            result = stored(records.outcome(self._load(now), asked, name), "outcome")
+            ids = sum(p["last"] - p["first"] + 1 for p in now)  # at most
+            result = stored(records.outcome(_sized(self._load(now), ids * ID_BYTES), asked, name), "outcome")
             touched = self._touched(now, asked)
             if touched:
-                folder = self._rewritten(touched, change)
+                folder = self._rewritten(touched, lambda before: change(before, sized))
                 fresh = [{**p, "name": f"{folder}/p={k}"} for k, p in enumerate(touched)]
                 fresh = [p for p in fresh if self.store.exists(f"{self.path}/{p['name']}")]
                 kept = [p for p in now if p not in touched]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.errors import Conflict, EngineError, RepeatedId, SchemaParserError, UnknownRelation
+from tessella.operators import records
 from tessella.operators.records import TID
 from tessella.sources import ddl
 from tessella.sources.database import Database
@@ -235,3 +236,23 @@ def test_only_the_parts_that_hold_an_id_are_rewritten(pairs, spark):
     pairs.remove(spark.createDataFrame([(k,) for k in range(10, 15)], "_tid long"))
     assert len(pairs._manifest()[1]["parts"]) == 3
     assert pairs.insert_rows([]).count() == 0
+
+
+def test_many_ids_are_not_broadcast(spark, pairs, monkeypatch):
+    """Dense ids are small on disk, so that Spark's estimate would have the driver hold all of them."""
+    n, plans = 700_000, []
+    for name in ("outcome", "updated", "remove"):
+
+        def spied(*args, real=getattr(records, name)):
+            result = real(*args)
+            plans.append(result._jdf.queryExecution().executedPlan().toString())
+            return result
+
+        monkeypatch.setattr(records, name, spied)
+    inserted = pairs.insert(spark.range(n).select(F.col("id").cast("int").alias("a"), F.lit("b").alias("b")))
+    done = pairs.update(inserted.select(TID, F.lit("x").alias("b")))
+    assert done.filter("updated").count() == n == pairs.read().filter("b = 'x'").count()
+    gone = pairs.remove(inserted.select(TID).filter("_tid % 8 > 0"))
+    assert gone.filter("removed").count() == n * 7 // 8 and pairs.read().count() == n // 8 + 10
+    assert len(plans) == 4 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    assert pairs.update_one(3, 33, "x") and "BroadcastHashJoin" in plans[-1]
